@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact
+from . import decontam, exact
+from .text import WORD_RE
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,11 +23,45 @@ WHERE doc_id <> keep_id
 """
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contained_items(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+OP10_SQL = f"""
+WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '{WORD_RE}') AS w FROM documents),
+b AS (SELECT item_id, regexp_extract_all(lower(text), '{WORD_RE}') AS w FROM benchmark),
+i AS (SELECT item_id, w, least(len(w), {decontam.N}) AS m FROM b WHERE len(w) > 0),
+isets AS (
+  SELECT DISTINCT item_id, m, array_to_string(list_slice(w, k, k + m - 1), ' ') AS s
+  FROM (SELECT item_id, m, w, unnest(range(1, len(w) - m + 2)) AS k FROM i) AS x
+),
+dsets AS (
+  SELECT DISTINCT doc_id, m, array_to_string(list_slice(w, k, k + m - 1), ' ') AS s
+  FROM (
+    SELECT doc_id, m, w, unnest(range(1, len(w) - m + 2)) AS k
+    FROM d, (SELECT DISTINCT m FROM i) AS ms WHERE len(w) >= m
+  ) AS y
+),
+sizes AS (SELECT item_id, count(*) AS q FROM isets GROUP BY item_id),
+hits AS (
+  SELECT dsets.doc_id, isets.item_id, count(*) AS c
+  FROM dsets JOIN isets ON dsets.s = isets.s AND dsets.m = isets.m GROUP BY dsets.doc_id, isets.item_id
+)
+SELECT hits.doc_id, hits.item_id, hits.c / sizes.q AS containment
+FROM hits JOIN sizes ON hits.item_id = sizes.item_id
+WHERE hits.c / sizes.q >= {decontam.THRESHOLD}
+"""
+
+
 def queries() -> dict:
     return {
+        "op10_decontamination": op10_decontamination,
         "op2_exact_dedup": op2_exact_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": OP2_SQL}
+    return {
+        "op2_exact_dedup": OP2_SQL,
+        "op10_decontamination": OP10_SQL,
+    }

@@ -144,17 +144,18 @@ def split_words(texts: pa.Array, lower: bool = True) -> Words:
     return Words(buf, starts, ends, np.searchsorted(starts, offs))
 
 
-def shingles(h: np.ndarray, ptr: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+def shingles(h: np.ndarray, ptr: np.ndarray, n: int, short: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all runs of n words within a document, and their pointers.
 
-    A document of 1 to n-1 words has one shingle, of all its words.
+    A document of 1 to n-1 words has one shingle, of all its words, or with
+    ``short=False`` none.
     """
     lens = np.diff(ptr)
-    out_len = np.where(lens >= n, lens - n + 1, np.minimum(lens, 1))
+    out_len = np.where(lens >= n, lens - n + 1, np.minimum(lens, 1) if short else 0)
     out_ptr = np.zeros(len(ptr), np.int64)
     np.cumsum(out_len, out=out_ptr[1:])
     total = len(h)
-    if total == 0:
+    if out_ptr[-1] == 0:
         return np.zeros(0, np.uint64), out_ptr
     acc = np.zeros(total, np.uint64)
     mult = np.uint64(0xD6E8FEB86659FD93)
@@ -162,14 +163,14 @@ def shingles(h: np.ndarray, ptr: np.ndarray, n: int) -> tuple[np.ndarray, np.nda
     for k in range(n):
         acc = acc * mult + padded[k : k + total]
     acc = mix(acc)
-    short = np.flatnonzero((lens > 0) & (lens < n))
     keep = np.arange(out_ptr[-1]) + np.repeat(ptr[:-1] - out_ptr[:-1], out_len)
     res = acc[keep]
-    for d in short:
-        v = np.uint64(len(h[ptr[d] : ptr[d + 1]]))
-        for x in h[ptr[d] : ptr[d + 1]]:
-            v = np.uint64((int(v) * int(mult) + int(x)) & 0xFFFFFFFFFFFFFFFF)
-        res[out_ptr[d]] = mix(np.array([v ^ np.uint64(0x5851F42D4C957F2D)]))[0]
+    if short:
+        for d in np.flatnonzero((lens > 0) & (lens < n)):
+            v = int(lens[d])
+            for x in h[ptr[d] : ptr[d + 1]]:
+                v = (v * int(mult) + int(x)) & 0xFFFFFFFFFFFFFFFF
+            res[out_ptr[d]] = mix(np.array([v], np.uint64) ^ np.uint64(0x5851F42D4C957F2D))[0]
     return res, out_ptr
 
 
