@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, exact
+from . import decontam, exact, neardup
 from .text import WORD_RE
 
 
@@ -23,6 +23,10 @@ WHERE doc_id <> keep_id
 """
 
 
+def op9_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contained_items(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -56,6 +60,7 @@ WHERE hits.c / sizes.q >= {decontam.THRESHOLD}
 def queries() -> dict:
     return {
         "op10_decontamination": op10_decontamination,
+        "op9_minhash_neardup": op9_minhash_neardup,
         "op2_exact_dedup": op2_exact_dedup,
     }
 
