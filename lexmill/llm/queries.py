@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, exact, neardup
+from . import decontam, exact, neardup, quality
 from .text import WORD_RE
 
 
@@ -12,6 +12,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -59,6 +63,7 @@ WHERE hits.c / sizes.q >= {decontam.THRESHOLD}
 
 def queries() -> dict:
     return {
+        "op1_quality_fm": op1_quality_fm,
         "op10_decontamination": op10_decontamination,
         "op9_minhash_neardup": op9_minhash_neardup,
         "op2_exact_dedup": op2_exact_dedup,
