@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, exact, neardup, quality
+from . import decontam, exact, neardup, packing, quality
 from .text import WORD_RE
 
 
@@ -27,6 +27,10 @@ WHERE doc_id <> keep_id
 """
 
 
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"))
+
+
 def op9_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -65,6 +69,7 @@ def queries() -> dict:
     return {
         "op1_quality_fm": op1_quality_fm,
         "op10_decontamination": op10_decontamination,
+        "op8_best_fit_packing": op8_best_fit_packing,
         "op9_minhash_neardup": op9_minhash_neardup,
         "op2_exact_dedup": op2_exact_dedup,
     }
