@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, exact, neardup, packing, quality
+from . import decontam, exact, neardup, packing, quality, tokens, warc
+from .runtime import checkpoint_dir, cut
 from .text import WORD_RE
 
+#: Of a public byte-level BPE; see the parameter ``vocabulary`` of ``tokens.pack_tokens``.
+VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -27,6 +33,25 @@ WHERE doc_id <> keep_id
 """
 
 
+def op4_warc_normaliser(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages, read member by member from the rewriting of files of one gzip stream each."""
+    folder = f"{checkpoint_dir(spark)}/warc-{uuid.uuid4().hex}"
+    files = cut(warc.write_monolithic(_table(spark, sf_dir, "pages"), f"{folder}/whole"))
+    index = warc.normalise(files, f"{folder}/members")
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/whole")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    return warc.read_pages(index)
+
+
+OP4_SQL = """
+SELECT page_id, url, html, CAST(strlen(html) AS BIGINT) AS content_length FROM pages
+"""
+
+
+def op7_token_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.pack_tokens(_table(spark, sf_dir, "documents"), VOCABULARY)
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
@@ -69,6 +94,8 @@ def queries() -> dict:
     return {
         "op1_quality_fm": op1_quality_fm,
         "op10_decontamination": op10_decontamination,
+        "op4_warc_normaliser": op4_warc_normaliser,
+        "op7_token_packing": op7_token_packing,
         "op8_best_fit_packing": op8_best_fit_packing,
         "op9_minhash_neardup": op9_minhash_neardup,
         "op2_exact_dedup": op2_exact_dedup,
@@ -78,5 +105,6 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_exact_dedup": OP2_SQL,
+        "op4_warc_normaliser": OP4_SQL,
         "op10_decontamination": OP10_SQL,
     }
