@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, exact, neardup, packing, quality, tokens, warc
+from . import decontam, exact, licenses, neardup, packing, quality, tokens, warc
 from .runtime import checkpoint_dir, cut
 from .text import WORD_RE
 
@@ -33,6 +33,10 @@ WHERE doc_id <> keep_id
 """
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_spans(_table(spark, sf_dir, "documents"))
+
+
 def op4_warc_normaliser(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pages, read member by member from the rewriting of files of one gzip stream each."""
     folder = f"{checkpoint_dir(spark)}/warc-{uuid.uuid4().hex}"
@@ -94,6 +98,7 @@ def queries() -> dict:
     return {
         "op1_quality_fm": op1_quality_fm,
         "op10_decontamination": op10_decontamination,
+        "op3_license_scan": op3_license_scan,
         "op4_warc_normaliser": op4_warc_normaliser,
         "op7_token_packing": op7_token_packing,
         "op8_best_fit_packing": op8_best_fit_packing,
