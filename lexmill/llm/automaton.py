@@ -15,8 +15,13 @@ class SuffixAutomaton:
         self.link = [-1]
         self.next: list[dict] = [{}]
 
-    def add(self, sequence) -> list[int]:
-        """Add a sequence; the state of each of its prefixes."""
+    def add(self, sequence, owner: list[int] | None = None, by: int = 0) -> list[int]:
+        """Add a sequence; the state of each of its prefixes.
+
+        ``owner`` is a list with a number for each state, which gets ``by`` for the new
+        ones and for a clone what the state it is cloned from has: with growing ``by``,
+        the first sequence that has the state's runs.
+        """
         size, link, step = self.size, self.link, self.next
         last, out = 0, []
         for c in sequence:
@@ -26,19 +31,28 @@ class SuffixAutomaton:
                     last = q
                 else:
                     last = self._clone(last, c, q)
+                    if owner is not None:
+                        owner.append(owner[q])
                 out.append(last)
                 continue
             new = len(size)
             size.append(size[last] + 1)
             link.append(0)
             step.append({})
+            if owner is not None:
+                owner.append(by)
             p = last
             while p != -1 and c not in step[p]:
                 step[p][c] = new
                 p = link[p]
             if p != -1:
                 q = step[p][c]
-                link[new] = q if size[q] == size[p] + 1 else self._clone(p, c, q)
+                if size[q] == size[p] + 1:
+                    link[new] = q
+                else:
+                    link[new] = self._clone(p, c, q)
+                    if owner is not None:
+                        owner.append(owner[q])
             last = new
             out.append(new)
         return out

@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, exact, licenses, neardup, packing, quality, tokens, warc
+from . import decontam, exact, langid, licenses, neardup, packing, quality, repeats, tokens, warc
 from .runtime import checkpoint_dir, cut
 from .text import WORD_RE
 
@@ -52,6 +52,14 @@ SELECT page_id, url, html, CAST(strlen(html) AS BIGINT) AS content_length FROM p
 """
 
 
+def op5_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.language_spans(_table(spark, sf_dir, "documents"))
+
+
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.repeated_spans(_table(spark, sf_dir, "documents"))
+
+
 def op7_token_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.pack_tokens(_table(spark, sf_dir, "documents"), VOCABULARY)
 
@@ -100,6 +108,8 @@ def queries() -> dict:
         "op10_decontamination": op10_decontamination,
         "op3_license_scan": op3_license_scan,
         "op4_warc_normaliser": op4_warc_normaliser,
+        "op5_language_crf": op5_language_crf,
+        "op6_substring_dedup": op6_substring_dedup,
         "op7_token_packing": op7_token_packing,
         "op8_best_fit_packing": op8_best_fit_packing,
         "op9_minhash_neardup": op9_minhash_neardup,
