@@ -134,7 +134,7 @@ def column_fields(lines: list[str], delim: str = " ", mode: str = "running") ->
     return [fields(line, s, delim) for line, s in zip(lines, states)]
 
 
-def uncol(df: DataFrame, delim: str = " ", mode: str = "running", text: str = "text") -> DataFrame:
+def split_columns(df: DataFrame, delim: str = " ", mode: str = "running", text: str = "text") -> DataFrame:
     """df's columns but ``text``, with a row (line_no, fields) for each line, line_no from 1."""
     if mode not in ("running", "global"):
         raise ValueError("mode is 'running' or 'global'")

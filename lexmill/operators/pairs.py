@@ -34,7 +34,7 @@ def distance_matrix(
     return pairs.select("a", "b", osa_distance("a", "b", trnsp, subst, insdel).alias("d"))
 
 
-def deinfix(lines: DataFrame, order: list[str], line: str = "line", gram: int = GRAM) -> DataFrame:
+def drop_infixes(lines: DataFrame, order: list[str], line: str = "line", gram: int = GRAM) -> DataFrame:
     """(line, first): the distinct lines that no other line contains, with the least ``order`` of each.
 
     A line can only be contained in one that has its key too: of a line of ``gram``

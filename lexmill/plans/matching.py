@@ -151,8 +151,8 @@ def t8_qgram_score(spark, d):
     return table(spark, d, "part").select("p_partkey", F.round(qgram_score("p_name", "p_type").cast("double"), 5).alias("score"))
 
 
-def j3_deinfix_lines(spark, d):
-    return pairs.deinfix(source.lines(docs(spark, d)), ["doc_id", "line_no"]).select("line", "first.doc_id", "first.line_no")
+def j3_infix_lines(spark, d):
+    return pairs.drop_infixes(source.lines(docs(spark, d)), ["doc_id", "line_no"]).select("line", "first.doc_id", "first.line_no")
 
 
 def _names(spark, d):
@@ -162,8 +162,8 @@ def _names(spark, d):
     return cols[0].unionByName(cols[1]).unionByName(cols[2]).unionByName(words)
 
 
-def j3_deinfix_names(spark, d):
-    return pairs.deinfix(_names(spark, d), ["p_partkey"]).select("line", "first.p_partkey")
+def j3_infix_names(spark, d):
+    return pairs.drop_infixes(_names(spark, d), ["p_partkey"]).select("line", "first.p_partkey")
 
 
 _CODES = "list_transform(string_split(upper({c}), ''), lambda x: CASE WHEN x = ' ' THEN 28 ELSE ascii(x) - 64 END)"
@@ -243,14 +243,14 @@ QUERIES = {
         h AS (SELECT p_partkey, {_HASHES.format(c='a')} AS x, {_HASHES.format(c='b')} AS y, least(len(a), len(b)) - 4 AS m FROM c)
         SELECT p_partkey, round(CAST(CAST(len(list_filter(y, lambda g: list_contains(x, g))) AS FLOAT) / CAST(m AS FLOAT) AS DOUBLE), 5) AS score FROM h""",
     ),
-    "j3_deinfix_names": (
-        j3_deinfix_names,
+    "j3_infix_names": (
+        j3_infix_names,
         """WITH l AS (SELECT p_name AS line, p_partkey FROM part UNION ALL SELECT p_type, p_partkey FROM part UNION ALL SELECT p_brand, p_partkey FROM part
         UNION ALL SELECT unnest(string_split(p_name, ' ')), p_partkey FROM part),
         s AS (SELECT line, min(p_partkey) AS p_partkey FROM l WHERE length(line) > 0 GROUP BY line)
         SELECT line, p_partkey FROM s WHERE NOT EXISTS (SELECT 1 FROM s AS o WHERE o.line <> s.line AND contains(o.line, s.line))""",
     ),
-    "j3_deinfix_lines": (j3_deinfix_lines, None),
+    "j3_infix_lines": (j3_infix_lines, None),
     "st1_stream_terms": (
         lambda spark, d: streams.stream_term_freq(spark, f"{d}/documents.parquet"),
         f"SELECT term, count(*) AS n FROM ({_rows()}) AS r GROUP BY term",

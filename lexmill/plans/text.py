@@ -125,12 +125,12 @@ def t7_pages(spark, d):
     return layout.pages(docs(spark, d), sep="\n").select("doc_id", "page_no", "text")
 
 
-def w4_uncol(spark, d):
-    return layout.uncol(docs(spark, d)).select("doc_id", "line_no", F.array_join("fields", "\t").alias("line"))
+def w4_columns(spark, d):
+    return layout.split_columns(docs(spark, d)).select("doc_id", "line_no", F.array_join("fields", "\t").alias("line"))
 
 
-def w4_uncol_global(spark, d):
-    return layout.uncol(docs(spark, d), mode="global").select("doc_id", "line_no", F.array_join("fields", "\t").alias("line"))
+def w4_columns_global(spark, d):
+    return layout.split_columns(docs(spark, d), mode="global").select("doc_id", "line_no", F.array_join("fields", "\t").alias("line"))
 
 
 def s5_lines(spark, d):
@@ -182,8 +182,8 @@ QUERIES = {
     "w1_ngram3": _ngrams(3),
     "w2_enum": (w2_enum, f"{_ENUM} SELECT term, id FROM dict"),
     "w2_enum_rows": (w2_enum_rows, f"{_ENUM} SELECT doc_id, pos, rows.term, id FROM rows JOIN dict ON rows.term = dict.term"),
-    "w4_uncol": (w4_uncol, None),
-    "w4_uncol_global": (w4_uncol_global, None),
+    "w4_columns": (w4_columns, None),
+    "w4_columns_global": (w4_columns_global, None),
     "f17_lookup_no_extend": (
         f17_lookup_no_extend,
         f"{_ENUM} SELECT item_id, pos, b.term, coalesce(id, 0) AS id FROM ({_rows('benchmark', 'item_id')}) AS b LEFT JOIN dict ON b.term = dict.term",

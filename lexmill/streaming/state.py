@@ -111,7 +111,7 @@ def unwrap_stream(lines: DataFrame, doc_id: str = "doc_id") -> DataFrame:
     return _by_document(lines, doc_id, "line_no long, line string", step)
 
 
-def uncol_stream(lines: DataFrame, delim: str = " ", joiner: str = "\t", doc_id: str = "doc_id") -> DataFrame:
+def columns_stream(lines: DataFrame, delim: str = " ", joiner: str = "\t", doc_id: str = "doc_id") -> DataFrame:
     """(doc_id, line_no, line): each line cut at the gaps common to it and all before it, joined by ``joiner``."""
 
     def step(rows, held):

@@ -94,14 +94,14 @@ def test_bloom(spark):
         bloom.bloom_merge(f, bloom.bloom_build(df, "k", bloom.bloom_params("9K", "1%")))
 
 
-def test_deinfix_equals_brute_force(spark):
+def test_contained_lines_equal_brute_force(spark):
     r = random.Random(4)
     lines = ["".join(r.choices("ab", k=r.randrange(14))) for _ in range(150)] + ["longer line " * 3, "er line lo", None, ""]
     df = spark.createDataFrame(list(enumerate(lines)), "k long, line string")
-    got = {(x.line, x["first"].k) for x in pairs.deinfix(df, ["k"]).collect()}
+    got = {(x.line, x["first"].k) for x in pairs.drop_infixes(df, ["k"]).collect()}
     kept = {a for a in lines if a and not any(b and a != b and a in b for b in lines)}
     assert got == {(a, lines.index(a)) for a in kept}
-    assert pairs.deinfix(df.limit(0), ["k"]).count() == 0
+    assert pairs.drop_infixes(df.limit(0), ["k"]).count() == 0
 
 
 def test_distance_matrix_leaves_out_blank_lines(spark):
@@ -140,7 +140,7 @@ def test_pages_lines_and_output(spark):
     got = source.lines(spark.createDataFrame([(1, "a\n\nb\n"), (2, ""), (3, None)], "doc_id long, text string")).collect()
     assert [(r.line_no, r.line) for r in got] == [(1, "a"), (2, ""), (3, "b")]
     assert layout.unwrap(docs).filter("text IS NULL").count() == 1
-    fields = layout.uncol(spark.createDataFrame([(1, "a  b\nc  d"), (2, None)], "doc_id long, text string"))
+    fields = layout.split_columns(spark.createDataFrame([(1, "a  b\nc  d"), (2, None)], "doc_id long, text string"))
     assert [r.line for r in layout.joined_fields(fields).collect()] == ["a\tb", "c\td"]
     report = spark.createDataFrame([("x", 2, "d")], "label string, n long, doc_id string")
     assert source.render_matches(report).first()[0] == "x\t2\td" and source.render_matches(report, False).first()[0] == "x\td"

@@ -43,5 +43,5 @@ def test_columns_of_documents_keep_their_state(spark, tmp_path):
     rows = [(1, 1, "A   B"), (1, 2, "cc  d e")]
     schema = "doc_id long, line_no long, line string"
     out = tmp_path / "out"
-    run(spark, rows, schema, tmp_path, lambda s: state.uncol_stream(s).writeStream.format("parquet").option("path", str(out)))
+    run(spark, rows, schema, tmp_path, lambda s: state.columns_stream(s).writeStream.format("parquet").option("path", str(out)))
     assert {tuple(r) for r in spark.read.parquet(str(out)).collect()} == {(1, 1, "A\tB"), (1, 2, "cc\td e")}
