@@ -27,57 +27,62 @@ MAX_GAP = 12
 #: Template words in one automaton; more are scanned in several passes.
 AUTOMATON_WORDS = 200_000
 
-#: (licence, text) of common notices and short statements.
+#: (licence, words) of common notices and short statements, in their standard public wording.  Marks and case
+#: don't count in the scan, so they are left out.
 TEMPLATES: list[tuple[str, str]] = [
-    ("MIT", """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and
-associated documentation files (the "Software"), to deal in the Software without restriction, including without
-limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software,
-and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above
-copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."""),
-    ("MIT", "Released under the MIT License."),
-    ("MIT", "Licensed under the MIT License."),
-    ("MIT", "SPDX-License-Identifier: MIT"),
-    ("Apache-2.0", """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except
-in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0.
-Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an
-"AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied."""),
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    ("Apache-2.0", "SPDX-License-Identifier: Apache-2.0"),
-    ("BSD-3-Clause", """Redistribution and use in source and binary forms, with or without modification, are permitted
-provided that the following conditions are met: Redistributions of source code must retain the above copyright notice,
-this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright
-notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with
-the distribution. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or
-promote products derived from this software without specific prior written permission."""),
-    ("BSD-2-Clause", """Redistribution and use in source and binary forms, with or without modification, are permitted
-provided that the following conditions are met: Redistributions of source code must retain the above copyright notice,
-this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright
-notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with
-the distribution."""),
-    ("ISC", """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is
-hereby granted, provided that the above copyright notice and this permission notice appear in all copies."""),
-    ("GPL-3.0", """This program is free software: you can redistribute it and/or modify it under the terms of the GNU
-General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your
-option) any later version."""),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("GPL-2.0", """This program is free software; you can redistribute it and/or modify it under the terms of the GNU
-General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your
-option) any later version."""),
-    ("LGPL-2.1", """This library is free software; you can redistribute it and/or modify it under the terms of the GNU
-Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at
-your option) any later version."""),
-    ("MPL-2.0", """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the
-MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."""),
-    ("Unlicense", """This is free and unencumbered software released into the public domain. Anyone is free to copy,
-modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary,
-for any purpose, commercial or non-commercial, and by any means."""),
-    ("CC-BY-4.0", "Licensed under CC BY 4.0."),
-    ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
-    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
-    ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
-    ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related rights to this work."),
-    ("Proprietary", "All rights reserved. No part of this publication may be reproduced without permission."),
+    ("MIT", """permission is hereby granted free of charge to any person obtaining a copy of this software and
+associated documentation files the software to deal in the software without restriction including without
+limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the
+software and to permit persons to whom the software is furnished to do so subject to the following
+conditions the above copyright notice and this permission notice shall be included in all copies or
+substantial portions of the software"""),
+    ("MIT", "released under the mit license"),
+    ("MIT", "licensed under the mit license"),
+    ("MIT", "spdx license identifier mit"),
+    ("Apache-2.0", """licensed under the apache license version 2 0 the license you may not use this file except in compliance
+with the license you may obtain a copy of the license at http www apache org licenses license 2 0 unless
+required by applicable law or agreed to in writing software distributed under the license is distributed
+on an as is basis without warranties or conditions of any kind either express or implied"""),
+    ("Apache-2.0", "licensed under the apache license version 2 0"),
+    ("Apache-2.0", "spdx license identifier apache 2 0"),
+    ("BSD-3-Clause", """redistribution and use in source and binary forms with or without modification are permitted provided
+that the following conditions are met redistributions of source code must retain the above copyright
+notice this list of conditions and the following disclaimer redistributions in binary form must reproduce
+the above copyright notice this list of conditions and the following disclaimer in the documentation and
+or other materials provided with the distribution neither the name of the copyright holder nor the names
+of its contributors may be used to endorse or promote products derived from this software without
+specific prior written permission"""),
+    ("BSD-2-Clause", """redistribution and use in source and binary forms with or without modification are permitted provided
+that the following conditions are met redistributions of source code must retain the above copyright
+notice this list of conditions and the following disclaimer redistributions in binary form must reproduce
+the above copyright notice this list of conditions and the following disclaimer in the documentation and
+or other materials provided with the distribution"""),
+    ("ISC", """permission to use copy modify and or distribute this software for any purpose with or without fee is
+hereby granted provided that the above copyright notice and this permission notice appear in all copies"""),
+    ("GPL-3.0", """this program is free software you can redistribute it and or modify it under the terms of the gnu general
+public license as published by the free software foundation either version 3 of the license or at your
+option any later version"""),
+    ("GPL-3.0", "this work is licensed under the gnu general public license version 3"),
+    ("GPL-2.0", """this program is free software you can redistribute it and or modify it under the terms of the gnu general
+public license as published by the free software foundation either version 2 of the license or at your
+option any later version"""),
+    ("LGPL-2.1", """this library is free software you can redistribute it and or modify it under the terms of the gnu lesser
+general public license as published by the free software foundation either version 2 1 of the license or
+at your option any later version"""),
+    ("MPL-2.0", """this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl
+was not distributed with this file you can obtain one at http mozilla org mpl 2 0"""),
+    ("Unlicense", """this is free and unencumbered software released into the public domain anyone is free to copy modify
+publish use compile sell or distribute this software either in source code form or as a compiled binary
+for any purpose commercial or non commercial and by any means"""),
+    ("CC-BY-4.0", "licensed under cc by 4 0"),
+    ("CC-BY-4.0", "this work is licensed under a creative commons attribution 4 0 international license"),
+    ("CC-BY-SA-4.0", "licensed under cc by sa 4 0"),
+    ("CC-BY-NC-4.0", "licensed under cc by nc 4 0"),
+    ("CC-BY-NC-4.0", """this work is licensed under a creative commons attribution noncommercial 4 0 international license
+this work is licensed under a creative commons attribution noncommercial 4 0 international license"""),
+    ("CC0-1.0", """to the extent possible under law the author has waived all copyright and related rights to this work
+to the extent possible under law the author has waived all copyright and related rights to this work"""),
+    ("Proprietary", "all rights reserved no part of this publication may be reproduced without permission"),
 ]
 
 
