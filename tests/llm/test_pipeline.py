@@ -58,3 +58,41 @@ def test_run_gives_the_last_stage(spark):
     rows = corpus_pipeline.run(spark, SF)
     assert rows.columns == ["doc_id", "piece", "start", "length", "bin_id"]
     assert rows.count() > 50
+
+
+def fixture(spark, folder, rows):
+    """Tables with columns that have the names which stages use themselves."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long, row long, Row2 string, keep string, id long, label string"
+    spark.createDataFrame(rows, schema).write.parquet(f"{folder}/documents.parquet")
+    labels = [(r[0], 1, 0) for r in rows[:1]] + [(None, None, None)] * bool(rows)
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    items = [(1, "the quick brown fox jumps over the lazy dog today"), (None, None), (3, "")] if rows else []
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    return str(folder)
+
+
+def test_nulls_repeats_long_texts_and_clashing_columns(spark, tmp_path):
+    more = (100, 7, "a", "b", 9, "c")
+    prose = " ".join(f"word{k}" for k in range(300))
+    rows = [
+        (1, prose, "en", "s", *more), (2, prose, None, None, *more), (2, prose, "en", "s", *more), (3, None, None, None, *[None] * 6),
+        (None, "", "en", "s", *more), (None, None, "en", None, *more), (4, prose + " tail", "en", "s", *more), (5, "solo", "en", "s", *more),
+        (6, "ah The quick brown fox jumps over the lazy dog today!", "en", "s", *more), (7, "very long " * 200_000, "en", "s", *more),
+    ]
+    folder = fixture(spark, tmp_path, rows)
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
+        got = stage(spark, docs, folder)
+        assert got.columns == docs.columns
+        got.write.parquet(f"{folder}/out{k}")
+        docs = spark.read.parquet(f"{folder}/out{k}")
+        assert docs.count() >= 3, name
+    kept = [(r.doc_id, r.text) for r in docs.collect()]
+    assert sorted(str(i) for i, _ in kept) == ["1", "3", "5", "7", "None", "None"]
+    packed = corpus_pipeline.run(spark, folder).collect()
+    assert sum(r.length for r in packed) == 300 + 1 + 400_000
+
+
+def test_empty_tables(spark, tmp_path):
+    folder = fixture(spark, tmp_path, [])
+    assert corpus_pipeline.run(spark, folder).count() == 0
