@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.pairs import osa_distance
-from ..runtime import checked_broadcast, cut
+from ..runtime import BROADCAST_BYTES, checked_broadcast, cut
 
-#: Characters of the substrings by which lines meet that may contain each other.
+#: Bytes of the substrings by which lines meet that may contain each other.
 GRAM = 8
 
 
@@ -34,32 +39,140 @@ def distance_matrix(
     return pairs.select("a", "b", osa_distance("a", "b", trnsp, subst, insdel).alias("d"))
 
 
-def drop_infixes(lines: DataFrame, order: list[str], line: str = "line", gram: int = GRAM) -> DataFrame:
+def _bytes(lines: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, offsets) of an array of texts without nulls."""
+    arr = lines.cast(pa.large_binary())
+    offs = np.frombuffer(arr.buffers()[1], np.int64)[arr.offset : arr.offset + len(arr) + 1]
+    raw = arr.buffers()[2]
+    buf = np.frombuffer(raw, np.uint8)[offs[0] : offs[-1]] if raw is not None else np.zeros(0, np.uint8)
+    return buf, offs - offs[0]
+
+
+def _packed(buf: np.ndarray, width: int) -> np.ndarray:
+    """The ``width`` bytes from each place on as one number; zeros behind the end."""
+    padded = np.concatenate([buf, np.zeros(width, np.uint8)]).astype(np.uint64)
+    out = np.zeros(len(buf), np.uint64)
+    for k in range(width):
+        out |= padded[k : k + len(buf)] << np.uint64(8 * k)
+    return out
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """An invertible scramble, so that no gram is least for its spelling."""
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+    return x ^ (x >> np.uint64(29))
+
+
+def line_keys(lines: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(kind, key) of each line, none empty.
+
+    A line of under ``GRAM`` bytes is its own key, its length the kind.  Of a longer one,
+    the kind is the greatest power of two within its length and the key the least
+    mixed gram of that many bytes from its start.
+    """
+    buf, offs = _bytes(lines)
+    n = np.diff(offs)
+    short = n < GRAM
+    kind = np.where(short, n, 1 << np.floor(np.log2(np.maximum(n, 1))).astype(np.int64))
+    grams = _mixed(_packed(buf, GRAM))
+    ends = np.stack([offs[:-1], offs[:-1] + np.maximum(kind - GRAM + 1, 1)], axis=1).reshape(-1)
+    key = np.minimum.reduceat(np.append(grams, np.uint64(0)), np.minimum(ends, len(grams)))[::2] if len(n) else grams
+    for s in range(1, GRAM):
+        at = np.flatnonzero(n == s)
+        if len(at):
+            key[at] = _packed(buf, s)[offs[:-1][at]]
+    return kind, key.view(np.int64)
+
+
+def held_keys(lines: pa.Array, kinds: list[int], wanted: dict[int, np.ndarray] | None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(kind, line, key) of all keys that a shorter line inside one of these could have, of the wanted ones if given."""
+    buf, offs = _bytes(lines)
+    n = np.diff(offs)
+    own = np.repeat(np.arange(len(n)), n)
+    left = offs[1:][own] - np.arange(len(buf))
+    grams = _mixed(_packed(buf, GRAM))
+    for kind in kinds:
+        if kind < GRAM:
+            value = _packed(buf, kind)
+        else:
+            value, width, want = grams, 1, kind - GRAM + 1
+            while width < want:
+                step = min(width, want - width)
+                value = np.minimum(value, np.append(value[step:], np.full(step, np.iinfo(np.uint64).max, np.uint64))[: len(value)])
+                width += step
+        at = np.flatnonzero((left >= kind) & (n[own] > kind))
+        new = np.ones(len(at), bool)
+        new[1:] = (value[at[1:]] != value[at[:-1]]) | (own[at[1:]] != own[at[:-1]])
+        at = at[new]
+        key = value[at].view(np.int64)
+        if wanted is not None:
+            there = wanted[kind]
+            ok = there[np.minimum(np.searchsorted(there, key), len(there) - 1)] == key
+            at, key = at[ok], key[ok]
+        pairs = np.unique(np.stack([own[at], key], axis=1), axis=0)
+        if len(pairs):
+            yield kind, pairs[:, 0], pairs[:, 1]
+
+
+def _slices(batch: pa.RecordBatch, limit: int = 1 << 21) -> Iterator[pa.RecordBatch]:
+    """Slices of about ``limit`` bytes of lines."""
+    total = np.cumsum(pc.binary_length(batch.column("line")).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        base = total[at - 1] if at else 0
+        end = max(at + 1, int(np.searchsorted(total, base + limit, side="right")))
+        yield batch.slice(at, end - at)
+        at = end
+
+
+def drop_infixes(lines: DataFrame, order: list[str], line: str = "line", limit: int = BROADCAST_BYTES) -> DataFrame:
     """(line, first): the distinct lines that no other line contains, with the least ``order`` of each.
 
-    A line can only be contained in one that has its key too: of a line of ``gram``
-    characters or more, the one of its ``gram``-character runs with the least hash; of
-    a shorter one, itself.  So lines meet by an equi-join on keys, and only then is it
-    looked for the whole line.  Empty and null lines never stay.
+    A line can only be contained in one that holds its key (see ``line_keys``): lines
+    meet by an equi-join on keys, whose number falls with the length of the lines
+    asked for, and only then is it looked for the whole line.  Keys are broadcast to
+    thin out what is sent if they take at most ``limit`` bytes, else semi-joined.  Empty
+    and null lines never stay.
     """
-    distinct = cut(
-        lines.filter(F.length(line) > 0).groupBy(F.col(line).alias("line")).agg(F.min(F.struct(*order)).alias("first"))
-    )
-    n = F.length("line")
+    distinct = lines.filter(F.length(line) > 0).groupBy(F.col(line).alias("line")).agg(F.min(F.struct(*order)).alias("first"))
+    distinct = cut(distinct)
+    named = cut(distinct.select(F.monotonically_increasing_id().alias("id"), "line"))
 
-    def runs(size) -> F.Column:
-        return F.transform(F.sequence(F.lit(1), n - size + 1), lambda i: F.substr("line", i, F.lit(size)))
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for b in _slices(batch):
+                kind, key = line_keys(b.column("line"))
+                yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(kind.astype(np.int64)), pa.array(key)], ["id", "kind", "key"])
 
-    least = F.array_min(F.transform(runs(gram), lambda x: F.xxhash64(x)))
-    keys = cut(distinct.select("line", n.alias("n"), F.when(n >= gram, least).otherwise(F.xxhash64("line")).alias("key")))
-    sizes = [r[0] for r in keys.select(F.least("n", F.lit(gram)).alias("s")).distinct().collect()]
-    parts = [F.when(n > s if s < gram else n >= s, F.transform(runs(s), lambda x: F.xxhash64(x))).otherwise(F.array().cast("array<bigint>")) for s in sizes]
-    if not parts:
+    keys = cut(named.mapInArrow(own, "id long, kind long, key long"))
+    kinds = sorted(r[0] for r in keys.select("kind").distinct().collect())
+    if not kinds:
         return distinct
-    all_keys = F.array_distinct(F.flatten(F.array(*parts)))
-    wanted = keys.select("key").distinct()
-    size = 24 * keys.count()
-    # only runs that are some line's key are worth sending
-    holders = distinct.select(F.col("line").alias("holder"), F.explode(all_keys).alias("key")).join(checked_broadcast(wanted, size), "key", "left_semi")
-    inside = keys.join(holders, "key").filter("line <> holder AND contains(holder, line)").select("line").distinct()
+    wanted = keys.select("kind", "key").distinct()
+    shared = None
+    if 16 * wanted.count() <= limit:
+        t = wanted.toArrow()
+        kind, key = t.column("kind").to_numpy(), t.column("key").to_numpy()
+        shared = lines.sparkSession.sparkContext.broadcast({k: np.sort(key[kind == k]) for k in kinds})
+
+    def hold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for b in _slices(batch):
+                for kind, row, key in held_keys(b.column("line"), kinds, None if shared is None else shared.value):
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(len(row), kind)), pa.array(key), b.column("id").take(pa.array(row))], ["kind", "key", "holder"]
+                    )
+
+    holders = named.mapInArrow(hold, "kind long, key long, holder long")
+    if shared is None:
+        holders = holders.join(wanted, ["kind", "key"], "left_semi")
+    holders = cut(holders)
+    # a short line is its key, and holders are longer, so that they hold it is all there is to know
+    short = keys.join(holders.filter(F.col("kind") < GRAM).select("kind", "key").distinct(), ["kind", "key"], "left_semi").select("id")
+    pairs = keys.filter(F.col("kind") >= GRAM).join(holders, ["kind", "key"]).filter("id <> holder").select("id", "holder").distinct()
+    long = (
+        pairs.join(named, "id").join(named.select(F.col("id").alias("holder"), F.col("line").alias("body")), "holder")
+        .filter("contains(body, line)").select("id")
+    )
+    inside = named.join(short.unionByName(long).distinct(), "id", "left_semi").select("line")
     return distinct.join(inside, "line", "left_anti")

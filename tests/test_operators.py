@@ -94,11 +94,16 @@ def test_bloom(spark):
         bloom.bloom_merge(f, bloom.bloom_build(df, "k", bloom.bloom_params("9K", "1%")))
 
 
-def test_contained_lines_equal_brute_force(spark):
+@pytest.mark.parametrize("limit", [0, 1 << 20])
+def test_contained_lines_equal_brute_force(spark, limit):
     r = random.Random(4)
-    lines = ["".join(r.choices("ab", k=r.randrange(14))) for _ in range(150)] + ["longer line " * 3, "er line lo", None, ""]
+    lines = ["".join(r.choices("abé", k=r.randrange(14))) for _ in range(120)] + ["longer line " * 3, "er line lo", None, ""]
+    base = "".join(r.choices("abcdefg é", k=400))
+    for _ in range(80):
+        i = r.randrange(len(base))
+        lines.append(base[i : i + r.choice([7, 8, 9, 15, 16, 17, 31, 40, 64, 100])])
     df = spark.createDataFrame(list(enumerate(lines)), "k long, line string")
-    got = {(x.line, x["first"].k) for x in pairs.drop_infixes(df, ["k"]).collect()}
+    got = {(x.line, x["first"].k) for x in pairs.drop_infixes(df, ["k"], limit=limit).collect()}
     kept = {a for a in lines if a and not any(b and a != b and a in b for b in lines)}
     assert got == {(a, lines.index(a)) for a in kept}
     assert pairs.drop_infixes(df.limit(0), ["k"]).count() == 0
