@@ -114,34 +114,42 @@ class Field:
         return forward_backward(e[inv], first, self.transitions, self.start)
 
 
-def _scan(steps: np.ndarray) -> np.ndarray:
-    """Row vectors v_t = v_{t-1} M_t up to a factor, v_{-1} = (1, ..., 1), for all t at once.
+def _scan(y: np.ndarray, anew: np.ndarray, a: np.ndarray, start: np.ndarray, back: bool) -> np.ndarray:
+    """Vectors of the recursion over all words up to a factor, from a uniform one.
 
-    The chain is cut into about sqrt(n) blocks: the products within blocks, then the
-    vectors at their edges, then all others.
+    Forward v_t = (v_{t-1} a) y_t, or start y_t where the chain begins ``anew``; ``back``
+    v_t = a (v_{t-1} y_t), or ones there.  The chain is cut into about sqrt(n) blocks:
+    the products within blocks, then the vectors at their edges, then all others.
     """
-    n, k, _ = steps.shape
+    n, k = y.shape
     block = max(1, int(np.sqrt(n)))
     count = -(-n // block)
-    full = np.empty((count * block, k, k))
-    full[:n] = steps
-    full[n:] = np.eye(k)
-    full = full.reshape(count, block, k, k)
-    product = full[:, 0].copy()
-    for t in range(1, block):
-        product = product @ full[:, t]
-        product /= product.max(axis=(1, 2), keepdims=True)
-    edge = np.empty((count, k))
+    place = np.arange(count) * block
+
+    def step(v: np.ndarray, t: int) -> np.ndarray:
+        inside = place + t < n
+        at = np.minimum(place + t, n - 1)
+        now = y[at][:, None, :]
+        out = (v * now) @ a.T if back else (v @ a) * now
+        new = anew[at]
+        if new.any():
+            out[new] = v[new].sum(axis=2, keepdims=True) * (1.0 if back else start * now[new])
+        out = np.where(inside[:, None, None], out, v)
+        return out / out.sum(axis=(1, 2), keepdims=True)
+
+    product = np.broadcast_to(np.eye(k), (count, k, k))
+    for t in range(block):
+        product = step(product, t)
+    edge = np.empty((count, 1, k))
     v = np.full(k, 1.0 / k)
     for b in range(count):
-        edge[b] = v
+        edge[b, 0] = v
         v = v @ product[b]
         v = v / v.sum()
     out = np.empty((count, block, k))
     for t in range(block):
-        edge = np.einsum("bi,bij->bj", edge, full[:, t])
-        edge /= edge.sum(axis=1, keepdims=True)
-        out[:, t] = edge
+        edge = step(edge, t)
+        out[:, t] = edge[:, 0]
     return out.reshape(-1, k)[:n]
 
 
@@ -150,17 +158,9 @@ def forward_backward(e: np.ndarray, first: np.ndarray, transitions: np.ndarray,
     x = np.exp(e - e.max(axis=1, keepdims=True)) + 1e-30
     a = np.exp(transitions - transitions.max())
     s = np.exp(start - start.max())
-    k = len(s)
-    steps = a[None] * x[:, None, :]
-    steps[first] = np.broadcast_to((s * x[first])[:, None, :], (first.sum(), k, k))
-    forward = _scan(steps)
-    # backward: beta_t = A (x_{t+1} beta_{t+1}); anew before each start, and at the end
-    back = np.swapaxes(a[None] * x[:, None, :], 1, 2)[1:][::-1]
-    back = np.concatenate([np.broadcast_to(np.ones((1, k, k)), (1, k, k)), back])
-    stop = np.append(first[1:], True)[::-1]
-    back[stop] = 1.0
-    beta = _scan(back)[::-1]
-    p = forward * beta
+    forward = _scan(x, first, a, s, False)
+    later = np.concatenate([np.ones((1, len(s))), x[:0:-1]])  # scores of the word behind each, last word first
+    p = forward * _scan(later, np.append(first[1:], True)[::-1], a, s, True)[::-1]
     return p / p.sum(axis=1, keepdims=True)
 
 
