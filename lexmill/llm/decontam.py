@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import BROADCAST_BYTES, cut, free_name, may_broadcast
+from .runtime import BROADCAST_BYTES, cut, free_name, may_broadcast, text_batches
 from .text import doc_chunks, shingles, split_words
 
 N = 5
@@ -191,6 +191,7 @@ def contained_items(
     than those named are not read.  The items are broadcast if they are checked
     to take at most ``broadcast_bytes``, else minima are joined by a shuffle.
     """
+    text_batches(docs.sparkSession)
     d = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     b = benchmark.select(F.col(item_id).alias("item_id"), F.col(item_text).alias("text"))
     limit = BROADCAST_BYTES if broadcast_bytes is None else broadcast_bytes

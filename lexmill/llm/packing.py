@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .runtime import cut, small
+from .runtime import cut, small, text_batches
 from .text import doc_chunks, string_buffers
 
 CAPACITY = 2048
@@ -276,6 +276,7 @@ def pack(
     and columns that aren't named are not read.
     """
     spark = docs.sparkSession
+    text_batches(spark)
     rows = docs.select(
         F.col(doc_id).alias("doc_id"), (word_count(F.col(text)) if length is None else length.cast("long")).alias("n")
     )

@@ -21,6 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .runtime import text_batches
 from .text import Words, mix, hash_spans, split_words, string_buffers
 
 #: Labelled rows that the model is fitted on at most, taken in order of a hash of their id.
@@ -219,6 +220,7 @@ def train(
     ``good`` is SQL over ``labels``; rows where it is null aren't used, nor are
     labels without a document.  If only one class is there, the machine says that.
     """
+    text_batches(docs.sparkSession)
     chosen = (
         labels.select(F.col(doc_id).alias("id"), F.expr(f"CAST({good} AS int)").alias("good"))
         .filter("id IS NOT NULL AND good IS NOT NULL")
