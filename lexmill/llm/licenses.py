@@ -78,10 +78,8 @@ for any purpose commercial or non commercial and by any means"""),
     ("CC-BY-4.0", "this work is licensed under a creative commons attribution 4 0 international license"),
     ("CC-BY-SA-4.0", "licensed under cc by sa 4 0"),
     ("CC-BY-NC-4.0", "licensed under cc by nc 4 0"),
-    ("CC-BY-NC-4.0", """this work is licensed under a creative commons attribution noncommercial 4 0 international license
-this work is licensed under a creative commons attribution noncommercial 4 0 international license"""),
-    ("CC0-1.0", """to the extent possible under law the author has waived all copyright and related rights to this work
-to the extent possible under law the author has waived all copyright and related rights to this work"""),
+    ("CC-BY-NC-4.0", "this work is licensed under a creative commons attribution noncommercial 4 0 international license"),
+    ("CC0-1.0", "to the extent possible under law the author has waived all copyright and related rights to this work"),
     ("Proprietary", "all rights reserved no part of this publication may be reproduced without permission"),
 ]
 

@@ -96,6 +96,25 @@ def test_spans_in_documents(spark):
     assert len(found(licenses.license_spans(twice))) == 2
 
 
+def test_every_template_is_found_once_and_whole(spark):
+    rows = [(k, "before it stands this. " + t + ". after it, that") for k, (_, t) in enumerate(licenses.TEMPLATES)]
+    got = found(licenses.license_spans(spark.createDataFrame(rows, "doc_id long, text string")))
+    want = [(k, name, 4, 4 + len(t.split()), 1.0) for k, (name, t) in enumerate(licenses.TEMPLATES)]
+    assert got == want
+    for _, t in licenses.TEMPLATES:  # none is a text twice over
+        w = t.split()
+        assert w[: len(w) // 2] != w[len(w) // 2 :]
+
+
+def test_standard_notices(spark):
+    rows = [
+        (1, "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
+        (2, "To the extent possible under law, the author has waived all copyright and related rights to this work."),
+    ]
+    got = found(licenses.license_spans(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert got == [(1, "CC-BY-NC-4.0", 0, 14, 1.0), (2, "CC0-1.0", 0, 18, 1.0)]
+
+
 def test_chains_skip_gaps_but_not_too_long_ones():
     assert licenses.chains([(0, 0, 5), (7, 6, 5)], 3) == [(0, 12, 10)]
     assert licenses.chains([(0, 0, 5), (50, 6, 5)], 3) == [(0, 5, 5), (50, 55, 5)]
