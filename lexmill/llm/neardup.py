@@ -1,14 +1,12 @@
 """MinHash near duplicates with an LSH forest.
 
 Every document has a MinHash signature of its 3-word shingles.  Each tree of the
-forest is a sorted order of all documents by its own ``DEPTH`` slots of the
-signature (a range partitioning, so that dense regions spread over tasks).  Within
-an order, documents that share a prefix of ``MIN_DEPTH`` slots are a region.  A
-region of at most ``REGION`` documents is compared in full; a denser one is split
-at one slot more, again and again, and its neighbours by longest common prefix are
-compared across the splits.  Documents that share a whole label and are too many
-to compare in full are compared with leaders, all of them.  Comparisons use the low
-bytes of all ``SLOTS`` slots.  Links are joined to groups by pointer jumping.
+forest has its own slots of the signature; documents that share its first
+``MIN_DEPTH`` slots are a region, and all documents of a region are compared with
+each other.  A region of more than ``REGION`` documents is split into blocks of
+about as many, and every two blocks meet in a part of their own, so that dense
+regions spread over tasks and none of their pairs is left out.  Comparisons use the
+low bytes of all ``SLOTS`` slots.  Links are joined to groups by pointer jumping.
 """
 
 from __future__ import annotations
@@ -31,8 +29,8 @@ SLOTS = 128
 TREES = 10
 DEPTH = 8
 MIN_DEPTH = 2
-REGION = 256
-NEIGHBOURS = 16
+#: Rows of a block; the results don't depend on it.
+REGION = 1024
 
 _rng = np.random.default_rng(20240229)
 _XOR = _rng.integers(0, 1 << 32, SLOTS, dtype=np.uint32)
@@ -92,51 +90,43 @@ def _similarity(low: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def _within(group: np.ndarray, rows: np.ndarray, reach: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of rows of one group that are at most ``reach`` places apart."""
-    for k in range(1, min(reach, len(rows) - 1) + 1):
-        at = np.flatnonzero(group[:-k] == group[k:])
-        if not len(at):
-            return
-        yield rows[at], rows[at + k]
-
-
-def links(tree: np.ndarray, label: np.ndarray, low: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of places, of rows sorted by (tree, label), that are similar enough."""
+def _pairs(group: np.ndarray, side: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of places of one group, of groups that lie together; where a group has two sides, those across."""
+    start = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if len(group) else np.zeros(0, np.int64)
+    end = np.append(start[1:], len(group))
+    ones = np.concatenate([[0], np.cumsum(side)])
+    two = ones[end] - ones[start] if len(group) else start
+    across = (two > 0) & (two < end - start)
+    last = np.repeat(np.where(across, start, end), end - start)
+    at, k = np.arange(len(group)), 0
+    while len(at):
+        k += 1
+        at = at[at + k < last[at]]
+        if len(at):
+            yield at, at + k
+    for g in np.flatnonzero(across):
+        rows = np.arange(start[g], end[g])
+        left, right = rows[side[rows] == 0], rows[side[rows] == 1]
+        per = max(1, (1 << 17) // len(right))
+        for i in range(0, len(left), per):
+            part = left[i : i + per]
+            yield np.repeat(part, len(right)), np.tile(right, len(part))
+
+
+def links(
+    tree: np.ndarray, label: np.ndarray, low: np.ndarray, least: float, part: np.ndarray | None = None, side: np.ndarray | None = None
+) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of places, of rows sorted by (tree, label, part), that are similar enough."""
     n = len(tree)
-    same = np.zeros((n, DEPTH), bool)
-    same[1:] = np.logical_and.accumulate((label[1:] == label[:-1]) & (tree[1:] == tree[:-1])[:, None], axis=1)
-    found: list[tuple[np.ndarray, np.ndarray]] = []
-
-    def accept(pairs) -> None:
-        for a, b in pairs:
-            ok = _similarity(low, a, b) >= least
+    new = np.ones(n, bool)
+    new[1:] = (tree[1:] != tree[:-1]) | (label[1:, :MIN_DEPTH] != label[:-1, :MIN_DEPTH]).any(axis=1)
+    if part is not None:
+        new[1:] |= part[1:] != part[:-1]
+    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    for a, b in _pairs(np.cumsum(new), np.zeros(n, np.int8) if side is None else side):
+        ok = _similarity(low, a, b) >= least
+        if ok.any():
             found.append((a[ok], b[ok]))
-
-    rows = np.arange(n)
-    for depth in range(MIN_DEPTH, DEPTH + 1):
-        new = ~same[rows, depth - 1]
-        new[1:] |= np.diff(rows) > 1
-        new[:1] = True
-        group = np.cumsum(new) - 1
-        size = np.bincount(group)[group]
-        few = (size > 1) & (size <= REGION)
-        accept(_within(group[few], rows[few], REGION))
-        dense = size > REGION
-        if depth == MIN_DEPTH:
-            accept(_within(group[dense], rows[dense], NEIGHBOURS))
-        rows, group = rows[dense], group[dense]
-        if not len(rows):
-            break
-    for g in np.unique(group) if len(rows) else ():
-        rest = rows[group == g]
-        while len(rest) > 1:
-            lead, others = rest[0], rest[1:]
-            ok = _similarity(low, np.full(len(others), lead), others) >= least
-            found.append((np.full(ok.sum(), lead), others[ok]))
-            rest = others[~ok]
-    if not found:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
 
 
@@ -165,8 +155,8 @@ def _search(least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
 
-        def done(tree, label, row, low):
-            a, b = links(tree, label, low, least)
+        def done(tree, label, part, side, row, low):
+            a, b = links(tree, label, low, least, part, side)
             if len(a):
                 child, root = contract(row[a], row[b])
                 yield pa.RecordBatch.from_arrays([pa.array(child), pa.array(root)], ["child", "parent"])
@@ -176,13 +166,15 @@ def _search(least: float):
                 continue
             held.append((
                 batch.column("tree").to_numpy(zero_copy_only=False),
-                _matrix(batch.column("label"), DEPTH, np.uint32),
+                _matrix(batch.column("label"), MIN_DEPTH, np.uint32),
+                batch.column("part").to_numpy(zero_copy_only=False),
+                batch.column("side").to_numpy(zero_copy_only=False),
                 batch.column("row").to_numpy(zero_copy_only=False),
                 _matrix(batch.column("low"), SLOTS, np.uint8),
             ))
             # a region may go on in the next batch: process up to where the last one starts
-            tree, label = held[-1][:2]
-            key = np.concatenate([tree[:, None].astype(np.uint32), label[:, :MIN_DEPTH]], axis=1)
+            tree, label, part = held[-1][:3]
+            key = np.concatenate([tree[:, None].astype(np.int64), label.astype(np.int64), part[:, None]], axis=1)
             other = np.flatnonzero((key != key[-1]).any(axis=1))
             if len(other) and sum(len(x[0]) for x in held) >= 20000:
                 cols = [np.concatenate(c) for c in zip(*held)]
@@ -195,6 +187,20 @@ def _search(least: float):
     return run
 
 
+def _parts(entries: DataFrame) -> DataFrame:
+    """(tree, label, part, side, row, low): a region in one part, or of more than REGION rows in one for each two of its blocks."""
+    dense = cut(entries.groupBy("tree", "label").agg(F.count("*").alias("c")).filter(F.col("c") > REGION))
+    blocks = F.ceil(F.col("c") / REGION)
+    block = F.pmod(F.xxhash64("row"), blocks)
+    cut_up = entries.join(small(dense, dense.count(), 64), ["tree", "label"], "left").select(
+        "tree", "label", "row", "low", F.coalesce(blocks, F.lit(1)).alias("blocks"), F.coalesce(block, F.lit(0)).alias("block")
+    ).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    return cut_up.select(
+        "tree", "label", (F.least("block", "other") * F.col("blocks") + F.greatest("block", "other")).alias("part"),
+        (F.col("block") > F.col("other")).cast("byte").alias("side"), "row", "low",
+    )
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(child, root) from (child, parent) with parent < child; roots have no row.
 
@@ -236,8 +242,8 @@ def near_groups(docs: DataFrame, row: str, text: str, n: int = N, threshold: flo
     )
     entries = groups.select(
         "row", "low", "sig", F.explode(F.array(*[F.lit(t) for t in range(TREES)])).alias("tree")
-    ).select("tree", F.substring("sig", F.col("tree") * (4 * DEPTH) + 1, F.lit(4 * DEPTH)).alias("label"), "row", "low")
-    order = entries.repartitionByRange("tree", "label").sortWithinPartitions("tree", "label")
+    ).select("tree", F.substring("sig", F.col("tree") * (4 * DEPTH) + 1, F.lit(4 * MIN_DEPTH)).alias("label"), "row", "low")
+    order = _parts(entries).repartition("tree", "label", "part").sortWithinPartitions("tree", "label", "part")
     found = order.mapInArrow(_search(threshold - SLACK), "child long, parent long")
     return components(twins.unionByName(found))
 
@@ -252,8 +258,7 @@ def near_duplicates(
     connected components, and the least id of a group stays (a null id last, of
     equal ids the first in the scan).  A document of fewer than n words counts as
     one shingle of all its words; null, empty and wordless texts are in no group.
-    Repeated rows are near duplicates of each other.  Ties in the sorted orders
-    don't matter: equal labels are one region.  Other columns are not read, and an
+    Repeated rows are near duplicates of each other.  Other columns are not read, and an
     empty table gives no rows.  ``docs`` must give its rows in the same order each
     time it is computed (a file scan does).
     """

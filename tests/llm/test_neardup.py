@@ -65,6 +65,47 @@ def test_dense_regions_stay_whole(spark, monkeypatch, region):
     assert len(child) == 299 and set(root) == {0}
 
 
+def shared_passage(seed, docs, pairs, words=200, shared=120):
+    """Documents with one passage and own words, J about 0.43; each of the first ``pairs`` has a copy with some words changed, J about 0.61."""
+    r = random.Random(seed)
+    passage = [f"p{k}" for k in range(shared)]
+    out = [passage + [f"d{i}x{k}" for k in range(words - shared)] for i in range(docs)]
+    for i in range(pairs):
+        out.append(passage + out[i][shared : shared + 32] + [f"c{i}x{k}" for k in range(words - shared - 32)])
+    rows = [(i, " ".join(t)) for i, t in enumerate(out)]
+    r.shuffle(rows)
+    return rows
+
+
+def test_isolated_pairs_in_dense_regions_are_compared():
+    docs, pairs = 4000, 300
+    texts = [t for _, t in sorted(shared_passage(3, docs, pairs))]
+    w = neardup.split_words(neardup.pa.array(texts))
+    _, sig = neardup.signatures(w.hashes(), w.ptr, neardup.N)
+    found = set()
+    for t in range(neardup.TREES):
+        label = sig[:, t * neardup.DEPTH : (t + 1) * neardup.DEPTH]
+        order = np.lexsort(label.T[::-1])
+        a, b = neardup.links(np.full(len(order), t), label[order], sig[order].astype(np.uint8), 0.45)
+        found |= set(zip(order[a].tolist(), order[b].tolist()))
+    assert sum((i, docs + i) in found or (docs + i, i) in found for i in range(pairs)) >= 0.93 * pairs
+
+
+def test_blocks_of_a_dense_region_meet_each_other_once(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "REGION", 8)
+    label, low = bytes(4 * neardup.MIN_DEPTH), bytes(neardup.SLOTS)
+    rows = [(0, label, i, low) for i in range(100)] + [(1, label, i, low) for i in range(5)]
+    parts = neardup._parts(spark.createDataFrame(rows, "tree int, label binary, row long, low binary"))
+    p = parts.orderBy("tree", "label", "part", "row").toPandas()
+    labels = np.zeros((len(p), neardup.MIN_DEPTH), np.uint32)
+    lows = np.zeros((len(p), neardup.SLOTS), np.uint8)
+    a, b = neardup.links(p.tree.to_numpy(), labels, lows, 0.5, p.part.to_numpy(), p.side.to_numpy())
+    row, tree = p.row.to_numpy(), p.tree.to_numpy()
+    got = sorted((int(tree[x]), *sorted((int(row[x]), int(row[y])))) for x, y in zip(a, b))
+    assert got == sorted([(0, i, j) for j in range(100) for i in range(j)] + [(1, i, j) for j in range(5) for i in range(j)])
+    assert p.groupby(["tree", "part"]).size().max() < 100
+
+
 def test_components_of_a_long_chain(spark):
     edges = [(i + 1, i) for i in range(60)] + [(101, 100), (105, 101), (105, 103)]
     df = spark.createDataFrame(edges, "child long, parent long")
