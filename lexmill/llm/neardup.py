@@ -6,7 +6,9 @@ forest has its own slots of the signature; documents that share its first
 each other.  A region of more than ``REGION`` documents is split into blocks of
 about as many, and every two blocks meet in a part of their own, so that dense
 regions spread over tasks and none of their pairs is left out.  Comparisons use the
-low bytes of all ``SLOTS`` slots.  Links are joined to groups by pointer jumping.
+low bytes of all ``SLOTS`` slots; pairs that are not clearly above or below the
+threshold by them are verified on their sets of shingles, which are sent only for
+documents in such pairs.  Links are joined to groups by pointer jumping.
 """
 
 from __future__ import annotations
@@ -23,8 +25,8 @@ from .text import doc_chunks, shingles, split_words
 
 N = 3
 THRESHOLD = 0.6
-#: Links are accepted from this much below the threshold, about a standard deviation.
-SLACK = 0.03
+#: Standard deviations of an estimate; a pair that is nearer to the threshold is compared by its sets of shingles.
+DOUBT = 3.5
 SLOTS = 128
 TREES = 10
 DEPTH = 8
@@ -114,20 +116,22 @@ def _pairs(group: np.ndarray, side: np.ndarray) -> Iterator[tuple[np.ndarray, np
 
 
 def links(
-    tree: np.ndarray, label: np.ndarray, low: np.ndarray, least: float, part: np.ndarray | None = None, side: np.ndarray | None = None
-) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of places, of rows sorted by (tree, label, part), that are similar enough."""
+    tree: np.ndarray, label: np.ndarray, low: np.ndarray, least: float, part: np.ndarray | None = None, side: np.ndarray | None = None,
+    close: bool = False,
+) -> tuple[np.ndarray, ...]:
+    """Pairs of places, of rows sorted by (tree, label, part), that are similar enough; with ``close`` also how similar."""
     n = len(tree)
     new = np.ones(n, bool)
     new[1:] = (tree[1:] != tree[:-1]) | (label[1:, :MIN_DEPTH] != label[:-1, :MIN_DEPTH]).any(axis=1)
     if part is not None:
         new[1:] |= part[1:] != part[:-1]
-    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
     for a, b in _pairs(np.cumsum(new), np.zeros(n, np.int8) if side is None else side):
-        ok = _similarity(low, a, b) >= least
+        like = _similarity(low, a, b)
+        ok = like >= least
         if ok.any():
-            found.append((a[ok], b[ok]))
-    return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+            found.append((a[ok], b[ok], like[ok]))
+    return tuple(np.concatenate(c) for c in zip(*found))[: 3 if close else 2]
 
 
 def contract(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -151,15 +155,37 @@ def contract(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[child], nodes[lab[child]]
 
 
-def _search(least: float):
+def _edges(child: np.ndarray, parent: np.ndarray, place: np.ndarray | None = None) -> pa.RecordBatch:
+    where = pa.nulls(len(child), pa.int64()) if place is None else pa.array(place)
+    return pa.RecordBatch.from_arrays([pa.array(child), pa.array(parent), where], ["child", "parent", "place"])
+
+
+def _root(rows: np.ndarray, child: np.ndarray, root: np.ndarray) -> np.ndarray:
+    """The roots of rows; ``child`` is sorted, a row that isn't in it is its own."""
+    at = np.minimum(np.searchsorted(child, rows), len(child) - 1)
+    return np.where(child[at] == rows, root[at], rows)
+
+
+def _search(least: float, sure: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
 
         def done(tree, label, part, side, row, low):
-            a, b = links(tree, label, low, least, part, side)
-            if len(a):
-                child, root = contract(row[a], row[b])
-                yield pa.RecordBatch.from_arrays([pa.array(child), pa.array(root)], ["child", "parent"])
+            a, b, close = links(tree, label, low, least, part, side, True)
+            clear = close >= sure
+            child, root = contract(row[a[clear]], row[b[clear]])
+            if len(child):
+                yield _edges(child, root)
+            # pairs that clear links join already need no look at their texts
+            a, b = a[~clear], b[~clear]
+            x, y = row[a], row[b]
+            if len(child):
+                apart = _root(x, child, root) != _root(y, child, root)
+                a, x, y = a[apart], x[apart], y[apart]
+            place = (label[a, 0].astype(np.int64) << 31) ^ label[a, 1] ^ (tree[a].astype(np.int64) << 58) ^ (part[a] * 0x9E3779B1)
+            for at in range(0, len(a), 1 << 16):
+                cols = (np.maximum(x, y), np.minimum(x, y), place)
+                yield _edges(*(c[at : at + (1 << 16)] for c in cols))
 
         for batch in batches:
             if not batch.num_rows:
@@ -244,8 +270,72 @@ def near_groups(docs: DataFrame, row: str, text: str, n: int = N, threshold: flo
         "row", "low", "sig", F.explode(F.array(*[F.lit(t) for t in range(TREES)])).alias("tree")
     ).select("tree", F.substring("sig", F.col("tree") * (4 * DEPTH) + 1, F.lit(4 * MIN_DEPTH)).alias("label"), "row", "low")
     order = _parts(entries).repartition("tree", "label", "part").sortWithinPartitions("tree", "label", "part")
-    found = order.mapInArrow(_search(threshold - SLACK), "child long, parent long")
-    return components(twins.unionByName(found))
+    doubt = DOUBT * (threshold * (1 - threshold) / SLOTS) ** 0.5
+    found = cut(order.mapInArrow(_search(threshold - doubt, threshold + doubt), "child long, parent long, place long"))
+    clear = found.filter("place IS NULL").select("child", "parent")
+    return components(twins.unionByName(clear).unionByName(_verified(docs, row, text, n, threshold, found.filter("place IS NOT NULL"))))
+
+
+def _sets(n: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chunk in doc_chunks(batch, "text"):
+                words = split_words(chunk.column("text"))
+                s, ptr = shingles(words.hashes(), words.ptr, n)
+                sets = [np.unique(s[ptr[k] : ptr[k + 1]]).tobytes() for k in range(chunk.num_rows)]
+                yield pa.RecordBatch.from_arrays([chunk.column("row"), pa.array(sets, pa.binary())], ["row", "shingles"])
+
+    return run
+
+
+def _compare(threshold: float):
+    """(child, parent) of the pairs of J >= threshold; in each place its rows' sets come first, then its pairs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, sets, up = None, {}, {}
+
+        def top(x: int) -> int:
+            while (y := up.get(x, x)) != x:
+                up[x] = x = up.get(y, y)
+            return x
+
+        for batch in batches:
+            out = []
+            column = batch.column("shingles")
+            for k, (place, a, b) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("place", "child", "parent")))):
+                if place != here:
+                    here, sets, up = place, {}, {}
+                if b is None:
+                    sets[a] = np.frombuffer(column[k].as_buffer(), np.uint64).copy()
+                    continue
+                s, t = sets[a], sets[b]
+                if min(len(s), len(t)) < threshold * max(len(s), len(t)) or (x := top(a)) == (y := top(b)):
+                    continue
+                if len(s) > len(t):
+                    s, t = t, s
+                both = int((t[np.minimum(np.searchsorted(t, s), len(t) - 1)] == s).sum())
+                if both >= threshold * (len(s) + len(t) - both):
+                    up[max(x, y)] = min(x, y)
+                    out.append((a, b))
+            if out:
+                child, parent = zip(*out)
+                yield pa.RecordBatch.from_arrays([pa.array(child, pa.int64()), pa.array(parent, pa.int64())], ["child", "parent"])
+
+    return run
+
+
+def _verified(docs: DataFrame, row: str, text: str, n: int, threshold: float, pairs: DataFrame) -> DataFrame:
+    """(child, parent) of the pairs (child, parent, place) whose sets of shingles have a J of ``threshold`` at least."""
+    pairs = cut(pairs.groupBy("child", "parent").agg(F.min("place").alias("place")))
+    needed = cut(pairs.select(F.explode(F.array("child", "parent")).alias("row"), "place").distinct())
+    rows = needed.select("row").distinct()
+    texts = docs.select(F.col(row).alias("row"), F.col(text).alias("text")).join(small(rows, needed.count(), 16), "row", "left_semi")
+    sets = needed.join(texts.mapInArrow(_sets(n), "row long, shingles binary"), "row").select(
+        "place", F.col("row").alias("child"), F.lit(None).cast("long").alias("parent"), "shingles"
+    )
+    both = sets.unionByName(pairs.withColumn("shingles", F.lit(None).cast("binary")).select("place", "child", "parent", "shingles"))
+    order = both.repartition("place").sortWithinPartitions("place", F.col("parent").asc_nulls_first())
+    return order.mapInArrow(_compare(threshold), "child long, parent long")
 
 
 def near_duplicates(
@@ -254,7 +344,8 @@ def near_duplicates(
     """(doc_id, keep_id) of every document that goes because its group keeps another.
 
     Documents are linked if the Jaccard similarity of their sets of n-word
-    shingles, estimated from SLOTS minima, reaches ``threshold``; groups are the
+    shingles reaches ``threshold``; where SLOTS minima leave it in doubt, the
+    sets are compared.  Groups are the
     connected components, and the least id of a group stays (a null id last, of
     equal ids the first in the scan).  A document of fewer than n words counts as
     one shingle of all its words; null, empty and wordless texts are in no group.

@@ -91,6 +91,21 @@ def test_isolated_pairs_in_dense_regions_are_compared():
     assert sum((i, docs + i) in found or (docs + i, i) in found for i in range(pairs)) >= 0.93 * pairs
 
 
+def test_documents_below_the_threshold_dont_chain(spark):
+    # J of 0.5 between any two
+    rows = shared_passage(4, 600, 0, shared=134)
+    got = neardup.near_duplicates(spark.createDataFrame(rows, SCHEMA))
+    assert got.count() == 0
+
+
+def test_pairs_about_the_threshold_are_told_by_their_sets(spark):
+    docs, pairs = 600, 60
+    rows = shared_passage(5, docs, pairs)
+    found = {(r.keep_id, r.doc_id) for r in neardup.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()}
+    want = {(i, docs + i) for i in range(pairs)}
+    assert found <= want and len(found) >= 0.9 * pairs
+
+
 def test_blocks_of_a_dense_region_meet_each_other_once(spark, monkeypatch):
     monkeypatch.setattr(neardup, "REGION", 8)
     label, low = bytes(4 * neardup.MIN_DEPTH), bytes(neardup.SLOTS)
