@@ -97,12 +97,24 @@ def _words(keys: DataFrame, p: BloomParams) -> DataFrame:
     return at.groupBy("part", F.shiftright("bit", 6).alias("word")).agg(F.bit_or(bit).alias("bits"))
 
 
+def _keys(df: DataFrame, col: str) -> DataFrame:
+    return df.select(F.col(col).cast("string").alias("key")).filter("key IS NOT NULL").distinct()
+
+
 def bloom_build(df: DataFrame, col: str, params: BloomParams) -> BloomFilter:
     """A filter of the distinct non-null values of ``col``."""
-    keys = cut(df.select(F.col(col).cast("string").alias("key")).filter("key IS NOT NULL").distinct())
+    keys = cut(_keys(df, col))
     return BloomFilter(params, cut(_words(keys, params)), keys.count())
 
 
+def bloom_sized(df: DataFrame, col: str, p: str | float, k: int | None = None) -> BloomFilter:
+    """``bloom_build`` with the size that the counted distinct values need for the error rate ``p``."""
+    keys = cut(_keys(df, col))
+    n = keys.count()
+    params = bloom_params(capacity=max(n, 1), p=p, k=k)
+    return BloomFilter(params, cut(_words(keys, params)), n)
+
+
 def _same(a: BloomFilter, b: BloomFilter) -> None:
     if (a.params.size, a.params.k) != (b.params.size, b.params.k):
         raise ValueError("filters of different sizes don't merge")

@@ -105,9 +105,11 @@ _REPORT = f"""SELECT doc_id, coalesce(yield, pattern) AS label, CAST(sum(n) AS B
 FROM ({_COUNTS}) AS c GROUP BY doc_id, yield IS NOT NULL, coalesce(yield, pattern)"""
 
 
+_P, _K = 1e-9, 30
+
+
 def _dictionary(spark, d):
-    params = bloom.bloom_params(capacity="400K", p=1e-9)
-    return bloom.bloom_build(terms.terms(docs(spark, d)), "term", params)
+    return bloom.bloom_sized(terms.terms(docs(spark, d)), "term", _P, _K)
 
 
 def f13_bloom_has(spark, d):
@@ -127,8 +129,9 @@ def a11_bloom_info(spark, d):
 
 
 def a6_bloom_merge(spark, d):
-    params = bloom.bloom_params(capacity="400K", p=1e-9)
-    both = bloom.bloom_add(bloom.bloom_build(terms.terms(items(spark, d)), "term", params), terms.terms(docs(spark, d)), "term")
+    rows, more = terms.terms(items(spark, d)).select("term"), terms.terms(docs(spark, d)).select("term")
+    params = bloom.bloom_params(capacity=max(rows.union(more).distinct().count(), 1), p=_P, k=_K)
+    both = bloom.bloom_add(bloom.bloom_build(rows, "term", params), more, "term")
     return bloom.bloom_info(both).select("k", "count")
 
 

@@ -189,3 +189,18 @@ def test_state_is_kept(spark, tmp_path):
     state.save_bloom(f, str(tmp_path / "bloom"))
     again = state.load_bloom(spark, str(tmp_path / "bloom"))
     assert again.params == f.params and again.count == 2 and bloom.bloom_has(rows, "term", again).count() == 2
+
+
+def test_bloom_queries_size_their_filters_by_the_terms(spark, tmp_path, monkeypatch):
+    from lexmill.plans import matching
+
+    spark.createDataFrame([(1, "a b c d"), (2, "c d e")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, "e f g")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    asked, make = [], bloom.bloom_params
+    monkeypatch.setattr(bloom, "bloom_params", lambda **how: asked.append(how["capacity"]) or make(**how))
+    d = str(tmp_path)
+    assert [r.term for r in matching.f13_bloom_has(spark, d).collect()] == ["e"]
+    assert [r.term for r in matching.j6_bloom_join_probe(spark, d).collect()] == ["e"]
+    assert matching.a10_bloom_hit_rate(spark, d).first().hits == 1
+    assert tuple(matching.a6_bloom_merge(spark, d).first()) == (30, 7)
+    assert asked == [5, 5, 5, 7]
