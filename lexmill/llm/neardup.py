@@ -1,14 +1,19 @@
 """MinHash near duplicates with an LSH forest.
 
 Every document has a MinHash signature of its 3-word shingles.  Each tree of the
-forest has its own slots of the signature; documents that share its first
-``MIN_DEPTH`` slots are a region, and all documents of a region are compared with
-each other.  A region of more than ``REGION`` documents is split into blocks of
-about as many, and every two blocks meet in a part of their own, so that dense
-regions spread over tasks and none of their pairs is left out.  Comparisons use the
-low bytes of all ``SLOTS`` slots; pairs that are not clearly above or below the
-threshold by them are verified on their sets of shingles, which are sent only for
-documents in such pairs.  Links are joined to groups by pointer jumping.
+forest has its own slots of the signature and sorts the documents by them; those that
+share its first ``MIN_DEPTH`` slots are a region, and the documents of a region are
+compared with each other.  In a region of more than ``REGION`` documents the order goes
+``DEPTH`` slots deep: neighbours, which have the longest prefix in common, are compared
+first, and what they link is one cluster, however large, at a cost that is linear in
+it.  Such a region is then split into blocks of about ``REGION`` documents, a large
+cluster into blocks of its own, and every two blocks meet in a part of their own,
+unless they are of one cluster.  So dense regions spread over tasks, a group of copies
+costs nothing among itself, and no pair that could join two groups is left out.
+Comparisons use the low bytes of all ``SLOTS`` slots; pairs that are not clearly above
+or below the threshold by them are verified on their sets of shingles, which are sent
+only for documents in such pairs.  Links are joined to groups by pointer jumping.  The
+groups depend neither on the number of partitions nor on ``REGION``.
 """
 
 from __future__ import annotations
@@ -17,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .runtime import cut, free_name, small, text_batches
@@ -32,7 +37,7 @@ TREES = 10
 DEPTH = 8
 MIN_DEPTH = 2
 #: Rows of a block; the results don't depend on it.
-REGION = 1024
+REGION = 4096
 
 _rng = np.random.default_rng(20240229)
 _XOR = _rng.integers(0, 1 << 32, SLOTS, dtype=np.uint32)
@@ -117,9 +122,12 @@ def _pairs(group: np.ndarray, side: np.ndarray) -> Iterator[tuple[np.ndarray, np
 
 def links(
     tree: np.ndarray, label: np.ndarray, low: np.ndarray, least: float, part: np.ndarray | None = None, side: np.ndarray | None = None,
-    close: bool = False,
+    cluster: np.ndarray | None = None, close: bool = False,
 ) -> tuple[np.ndarray, ...]:
-    """Pairs of places, of rows sorted by (tree, label, part), that are similar enough; with ``close`` also how similar."""
+    """Pairs of places, of rows sorted by (tree, label, part), that are similar enough; with ``close`` also how similar.
+
+    Rows of one ``cluster`` aren't compared.
+    """
     n = len(tree)
     new = np.ones(n, bool)
     new[1:] = (tree[1:] != tree[:-1]) | (label[1:, :MIN_DEPTH] != label[:-1, :MIN_DEPTH]).any(axis=1)
@@ -127,6 +135,9 @@ def links(
         new[1:] |= part[1:] != part[:-1]
     found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
     for a, b in _pairs(np.cumsum(new), np.zeros(n, np.int8) if side is None else side):
+        if cluster is not None:
+            apart = cluster[a] != cluster[b]
+            a, b = a[apart], b[apart]
         like = _similarity(low, a, b)
         ok = like >= least
         if ok.any():
@@ -170,8 +181,8 @@ def _search(least: float, sure: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
 
-        def done(tree, label, part, side, row, low):
-            a, b, close = links(tree, label, low, least, part, side, True)
+        def done(tree, label, part, side, row, cluster, low):
+            a, b, close = links(tree, label, low, least, part, side, cluster, True)
             clear = close >= sure
             child, root = contract(row[a[clear]], row[b[clear]])
             if len(child):
@@ -196,6 +207,7 @@ def _search(least: float, sure: float):
                 batch.column("part").to_numpy(zero_copy_only=False),
                 batch.column("side").to_numpy(zero_copy_only=False),
                 batch.column("row").to_numpy(zero_copy_only=False),
+                batch.column("cluster").to_numpy(zero_copy_only=False),
                 _matrix(batch.column("low"), SLOTS, np.uint8),
             ))
             # a region may go on in the next batch: process up to where the last one starts
@@ -213,18 +225,81 @@ def _search(least: float, sure: float):
     return run
 
 
-def _parts(entries: DataFrame) -> DataFrame:
-    """(tree, label, part, side, row, low): a region in one part, or of more than REGION rows in one for each two of its blocks."""
+def _neighbours(sure: float):
+    """Links of neighbours of one region that are clearly similar, of rows in order of (tree, path)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            cols = [
+                batch.column("tree").to_numpy(zero_copy_only=False), _matrix(batch.column("path"), DEPTH, np.uint32),
+                batch.column("row").to_numpy(zero_copy_only=False), _matrix(batch.column("low"), SLOTS, np.uint8),
+            ]
+            if held:
+                cols = [np.concatenate(c) for c in zip(held, cols)]
+            held = [c[-1:] for c in cols]
+            tree, path, row, low = cols
+            at = np.flatnonzero((tree[1:] == tree[:-1]) & (path[1:, :MIN_DEPTH] == path[:-1, :MIN_DEPTH]).all(axis=1))
+            at = at[_similarity(low, at, at + 1) >= sure]
+            if len(at):
+                child, root = contract(row[at], row[at + 1])
+                yield _edges(child, root).select(["child", "parent"])
+
+    return run
+
+
+def _clusters(hot: DataFrame, sure: float) -> tuple[DataFrame, DataFrame]:
+    """(hot with the column cluster, the links that made the clusters), of rows (tree, label, path, row, low) of dense regions."""
+    order = hot.select("tree", "path", "row", "low").repartitionByRange("tree", "path", "row").sortWithinPartitions("tree", "path", "row")
+    made = cut(components(order.mapInArrow(_neighbours(sure), "child long, parent long")))
+    joined = hot.join(small(made, made.count(), 16).withColumnRenamed("child", "row"), "row", "left")
+    return joined.select("tree", "label", "row", "low", F.coalesce("root", "row").alias("cluster")), made.withColumnRenamed("root", "parent")
+
+
+def _parts(entries: DataFrame, sure: float) -> tuple[DataFrame, DataFrame | None]:
+    """(tree, label, part, side, row, cluster, low), and links (child, parent) that are clear from the start.
+
+    A region is one part; one of more than REGION rows has a part for each two of its
+    blocks, but for two blocks of one cluster.
+    """
     dense = cut(entries.groupBy("tree", "label").agg(F.count("*").alias("c")).filter(F.col("c") > REGION))
-    blocks = F.ceil(F.col("c") / REGION)
-    block = F.pmod(F.xxhash64("row"), blocks)
-    cut_up = entries.join(small(dense, dense.count(), 64), ["tree", "label"], "left").select(
-        "tree", "label", "row", "low", F.coalesce(blocks, F.lit(1)).alias("blocks"), F.coalesce(block, F.lit(0)).alias("block")
-    ).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    return cut_up.select(
-        "tree", "label", (F.least("block", "other") * F.col("blocks") + F.greatest("block", "other")).alias("part"),
-        (F.col("block") > F.col("other")).cast("byte").alias("side"), "row", "low",
+    regions = dense.count()
+    whole = (
+        F.lit(0).cast("long").alias("part"), F.lit(0).cast("byte").alias("side"), F.col("row"), F.col("row").alias("cluster"), F.col("low")
     )
+    if not regions:
+        return entries.select("tree", "label", *whole), None
+    there = small(dense, regions, 64)
+    hot, made = _clusters(cut(entries.join(there, ["tree", "label"]).drop("c")), sure)
+    hot = cut(hot)
+    # a large cluster of a region has blocks of its own, before those of all other rows
+    region = Window.partitionBy("tree", "label")
+    large = hot.groupBy("tree", "label", "cluster").agg(F.count("*").alias("n")).filter(F.col("n") > REGION)
+    large = cut(
+        large.withColumn("blocks", F.ceil(F.col("n") / REGION))
+        .withColumn("first", F.sum("blocks").over(region.orderBy("cluster")) - F.col("blocks"))
+    )
+    taken = large.groupBy("tree", "label").agg(F.sum("n").alias("n"), F.sum("blocks").alias("before"))
+    layout = cut(
+        dense.join(taken, ["tree", "label"], "left")
+        .withColumn("before", F.coalesce("before", F.lit(0))).withColumn("others", F.ceil((F.col("c") - F.coalesce("n", F.lit(0))) / REGION))
+        .select("tree", "label", "before", "others")
+    )
+    large = large.select("tree", "label", "cluster", "blocks", "first")
+    placed = hot.join(small(layout, regions, 96), ["tree", "label"]).join(small(large, large.count(), 96), ["tree", "label", "cluster"], "left")
+    placed = placed.select(
+        "tree", "label", "row", "cluster", "low", (F.col("before") + F.col("others")).alias("all"),
+        (F.coalesce("first", "before") + F.pmod(F.xxhash64("row"), F.coalesce("blocks", "others"))).alias("block"),
+        F.coalesce("first", F.lit(-1)).alias("from"), F.coalesce(F.col("first") + F.col("blocks"), F.lit(-1)).alias("to"),
+    )
+    met = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("all") - 1))).filter((F.col("other") < F.col("from")) | (F.col("other") >= F.col("to")))
+    blocks = met.select(
+        "tree", "label", (F.least("block", "other") * F.col("all") + F.greatest("block", "other")).alias("part"),
+        (F.col("block") > F.col("other")).cast("byte").alias("side"), "row", "cluster", "low",
+    )
+    return entries.join(there, ["tree", "label"], "left_anti").select("tree", "label", *whole).unionByName(blocks), made
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -268,11 +343,15 @@ def near_groups(docs: DataFrame, row: str, text: str, n: int = N, threshold: flo
     )
     entries = groups.select(
         "row", "low", "sig", F.explode(F.array(*[F.lit(t) for t in range(TREES)])).alias("tree")
-    ).select("tree", F.substring("sig", F.col("tree") * (4 * DEPTH) + 1, F.lit(4 * MIN_DEPTH)).alias("label"), "row", "low")
-    order = _parts(entries).repartition("tree", "label", "part").sortWithinPartitions("tree", "label", "part")
+    )
+    path = lambda depth: F.substring("sig", F.col("tree") * (4 * DEPTH) + 1, F.lit(4 * depth))
+    entries = entries.select("tree", path(MIN_DEPTH).alias("label"), path(DEPTH).alias("path"), "row", "low")
     doubt = DOUBT * (threshold * (1 - threshold) / SLOTS) ** 0.5
+    parts, made = _parts(entries, threshold + doubt)
+    order = parts.repartition("tree", "label", "part").sortWithinPartitions("tree", "label", "part")
     found = cut(order.mapInArrow(_search(threshold - doubt, threshold + doubt), "child long, parent long, place long"))
     clear = found.filter("place IS NULL").select("child", "parent")
+    clear = clear if made is None else clear.unionByName(made)
     return components(twins.unionByName(clear).unionByName(_verified(docs, row, text, n, threshold, found.filter("place IS NOT NULL"))))
 
 

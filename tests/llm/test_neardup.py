@@ -106,19 +106,49 @@ def test_pairs_about_the_threshold_are_told_by_their_sets(spark):
     assert found <= want and len(found) >= 0.9 * pairs
 
 
-def test_blocks_of_a_dense_region_meet_each_other_once(spark, monkeypatch):
+def test_blocks_of_a_dense_region_meet_each_other_but_those_of_a_cluster(spark, monkeypatch):
     monkeypatch.setattr(neardup, "REGION", 8)
-    label, low = bytes(4 * neardup.MIN_DEPTH), bytes(neardup.SLOTS)
-    rows = [(0, label, i, low) for i in range(100)] + [(1, label, i, low) for i in range(5)]
-    parts = neardup._parts(spark.createDataFrame(rows, "tree int, label binary, row long, low binary"))
+    r = np.random.default_rng(1)
+    sig = r.integers(0, 1 << 32, (160, neardup.SLOTS), dtype=np.uint32)
+    sig[:, : neardup.MIN_DEPTH] = 7  # tree 0 has one region
+    sig[40:] = sig[40]  # a cluster, far larger than a block
+    label, path = sig[:, : neardup.MIN_DEPTH], sig[:, : neardup.DEPTH]
+    rows = [(0, label[i].tobytes(), path[i].tobytes(), i, sig[i].astype(np.uint8).tobytes()) for i in range(160)]
+    rows += [(1, b"x" * 8, bytes(32), i, bytes([i]) * neardup.SLOTS) for i in range(5)]
+    parts, made = neardup._parts(spark.createDataFrame(rows, "tree int, label binary, path binary, row long, low binary"), 0.9)
+    assert {tuple(x) for x in made.collect()} == {(i, 40) for i in range(41, 160)}
     p = parts.orderBy("tree", "label", "part", "row").toPandas()
-    labels = np.zeros((len(p), neardup.MIN_DEPTH), np.uint32)
+    assert p.groupby(["tree", "part"]).size().max() < 60
+    labels = np.stack([np.frombuffer(x, np.uint32) for x in p.label])
     lows = np.zeros((len(p), neardup.SLOTS), np.uint8)
-    a, b = neardup.links(p.tree.to_numpy(), labels, lows, 0.5, p.part.to_numpy(), p.side.to_numpy())
+    a, b = neardup.links(p.tree.to_numpy(), labels, lows, 0.5, p.part.to_numpy(), p.side.to_numpy(), p.cluster.to_numpy())
     row, tree = p.row.to_numpy(), p.tree.to_numpy()
-    got = sorted((int(tree[x]), *sorted((int(row[x]), int(row[y])))) for x, y in zip(a, b))
-    assert got == sorted([(0, i, j) for j in range(100) for i in range(j)] + [(1, i, j) for j in range(5) for i in range(j)])
-    assert p.groupby(["tree", "part"]).size().max() < 100
+    got = {(int(tree[x]), *sorted((int(row[x]), int(row[y])))) for x, y in zip(a, b)}
+    want = {(0, i, j) for j in range(160) for i in range(j) if i < 40} | {(1, i, j) for j in range(5) for i in range(j)}
+    assert got == want
+    # of the cluster's rows each meets the blocks of the others alone
+    assert len(p[(p.tree == 0) & (p.row >= 40)]) == 120 * 5
+
+
+def test_groups_depend_on_neither_partitions_nor_blocks(spark, monkeypatch):
+    rows = corpus(7, 120) + [(1000 + i, t) for i, t in shared_passage(8, 150, 20)]
+    r = random.Random(9)
+    base = [f"v{k}" for k in range(300)]
+    rows += [(2000 + i, " ".join(w if r.random() > 0.02 else f"x{r.random()}" for w in base)) for i in range(200)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    names = ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled")
+    before = {k: spark.conf.get(k) for k in names}
+    got = []
+    try:
+        for partitions, adaptive, region in ((1, "false", 4096), (200, "false", 4096), (8, "true", 8)):
+            monkeypatch.setattr(neardup, "REGION", region)
+            spark.conf.set("spark.sql.shuffle.partitions", partitions)
+            spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+            got.append(sorted(tuple(x) for x in neardup.near_duplicates(df).collect()))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert len(got[0]) > 250 and all(g == got[0] for g in got)
 
 
 def test_components_of_a_long_chain(spark):
