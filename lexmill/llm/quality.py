@@ -21,8 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import text_batches
-from .text import Words, mix, hash_spans, split_words, string_buffers
+from .text import Words, doc_chunks, hash_spans, mix, split_words, string_buffers
 
 #: Labelled rows that the model is fitted on at most, taken in order of a hash of their id.
 TRAIN_ROWS = 20000
@@ -219,33 +218,40 @@ def train(
 
     ``good`` is SQL over ``labels``; rows where it is null aren't used, nor are
     labels without a document.  If only one class is there, the machine says that.
+    Labels are taken in order of a hash of their id; if their ids stand in more than
+    ``max_rows`` rows, these are taken in order of a hash of all their columns.  A row that is
+    repeated as a whole is one.
     """
-    text_batches(docs.sparkSession)
     chosen = (
         labels.select(F.col(doc_id).alias("id"), F.expr(f"CAST({good} AS int)").alias("good"))
         .filter("id IS NOT NULL AND good IS NOT NULL")
         .orderBy(F.xxhash64("id"), "id", "good").limit(max_rows)
     )
-    rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"), *[F.col(c).alias(f"m{k}") for k, c in enumerate(meta)])
+    fields = [F.col(c).alias(f"m{k}") for k, c in enumerate(meta)]
+    rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"), *fields)
+    # an id may stand in any number of rows: of all that have a chosen one, so many are taken
+    order = F.xxhash64("id", "text", *[f"m{k}" for k in range(len(meta))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not b.num_rows:
-                continue
-            f = features(b.column("text"), [b.column(f"m{k}") for k in range(len(meta))])
-            lists = pa.ListArray.from_arrays(pa.array(f.ptr.astype(np.int32)), pa.array(f.words))
-            fields = pa.ListArray.from_arrays(
-                pa.array(np.arange(0, f.fields.size + 1, f.fields.shape[1], dtype=np.int32)), pa.array(f.fields.reshape(-1))
-            )
-            yield pa.RecordBatch.from_arrays([b.column("id").cast(pa.string()), b.column("good"), lists, fields], ["id", "good", "words", "fields"])
+        for batch in batches:
+            for b in doc_chunks(batch, "text"):
+                f = features(b.column("text"), [b.column(f"m{k}") for k in range(len(meta))])
+                lists = pa.ListArray.from_arrays(pa.array(f.ptr.astype(np.int32)), pa.array(f.words))
+                fields = pa.ListArray.from_arrays(
+                    pa.array(np.arange(0, f.fields.size + 1, f.fields.shape[1], dtype=np.int32)), pa.array(f.fields.reshape(-1))
+                )
+                yield pa.RecordBatch.from_arrays([b.column("order"), b.column("good"), lists, fields], ["id", "good", "words", "fields"])
 
     # the chosen labels are max_rows pairs of numbers at most, so they are broadcast
+    found = rows.join(F.broadcast(chosen), "id").withColumn("order", order)
+    bound = found.select("order").distinct().orderBy("order").limit(max_rows).agg(F.max("order")).first()[0]
+    if bound is None:
+        return None
+    one = found.filter(F.col("order") <= bound).dropDuplicates(["order", "good"])
     got = (
-        rows.join(F.broadcast(chosen), "id").mapInArrow(run, "id string, good int, words array<int>, fields array<int>")
-        .toArrow().combine_chunks().sort_by([("id", "ascending"), ("good", "ascending")])
+        one.mapInArrow(run, "id long, good int, words array<int>, fields array<int>")
+        .toArrow().combine_chunks().sort_by([("id", "ascending"), ("good", "ascending")]).slice(0, max_rows)
     )
-    if not got.num_rows:
-        return None
     words, fields = got.column("words").combine_chunks(), got.column("fields").combine_chunks()
     ptr = np.concatenate([[0], np.cumsum(pc.list_value_length(words).to_numpy(zero_copy_only=False))])
     f = Features(words.flatten().to_numpy(), ptr, fields.flatten().to_numpy().reshape(got.num_rows, -1))
@@ -259,8 +265,6 @@ def score_column(machine: Machine | None, spark, text, *meta):
     shared = spark.sparkContext.broadcast(machine)
 
     def score(texts: pa.Array, *fields: pa.Array) -> pa.Array:
-        from .text import doc_chunks
-
         out, m = [], shared.value
         batch = pa.RecordBatch.from_arrays([texts, *fields], ["text", *[f"m{k}" for k in range(len(fields))]])
         for c in doc_chunks(batch, "text"):

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import os
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import decontam, exact, langid, licenses, neardup, packing, quality, repeats, tokens, warc
-from .runtime import checkpoint_dir, cut
+from .runtime import checkpoint_dir, cut, remove
 from .text import WORD_RE
 
-#: Of a public byte-level BPE; see the parameter ``vocabulary`` of ``tokens.pack_tokens``.
-VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+#: Of a public byte-level BPE; ``LEXMILL_VOCABULARY`` names another file.
+VOCABULARY = os.environ.get("LEXMILL_VOCABULARY", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,9 +44,8 @@ def op4_warc_normaliser(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{checkpoint_dir(spark)}/warc-{uuid.uuid4().hex}"
     files = cut(warc.write_monolithic(_table(spark, sf_dir, "pages"), f"{folder}/whole"))
     index = warc.normalise(files, f"{folder}/members")
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/whole")
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-    return warc.read_pages(index)
+    remove(spark, f"{folder}/whole")
+    return warc.read_pages(index).withColumn("page_id", F.col("page_id").cast("long"))
 
 
 OP4_SQL = """

@@ -11,28 +11,23 @@ from pyspark.sql import functions as F
 BROADCAST_BYTES = 64 << 20
 
 
-#: Rows of an Arrow batch of texts, where the session leaves it at Spark's 10,000.
-BATCH_ROWS = 1000
-
-
-def text_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches of texts to some megabytes, in the JVM and in Python."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(name) == "10000":
-        spark.conf.set(name, str(BATCH_ROWS))
-
-
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; a new one only where it is unset."""
+    """The shared folder of ``spark.checkpoint.dir``; where it is unset, a new one in local mode, an error on a cluster."""
     sc = spark.sparkContext
-    there = sc.getCheckpointDir()
-    if there:
-        return there
-    conf = spark.conf.get("spark.checkpoint.dir", None)
-    sc.setCheckpointDir(conf or tempfile.mkdtemp(prefix="lexmill-ckpt-"))
+    if not sc.getCheckpointDir():
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="lexmill-"))
     return sc.getCheckpointDir()
 
 
+def remove(spark: SparkSession, folder: str) -> None:
+    """Delete a folder that is read no more."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` computed once and read from the shared folder from then on."""
     checkpoint_dir(df.sparkSession)

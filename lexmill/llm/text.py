@@ -49,8 +49,29 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+#: Bytes that spans are hashed in at a time.
+HASH_BYTES = 1 << 18
+
+
 def hash_spans(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of buf[start:end] for each span, by prefix sums."""
+    """64-bit hash of buf[start:end] for each span, by prefix sums.
+
+    Spans are in order of their starts.  They are hashed in groups that start within
+    HASH_BYTES, so that memory doesn't grow with the text.
+    """
+    if len(buf) <= HASH_BYTES or not len(starts):
+        return _hash_spans(buf, starts, ends)
+    out = np.empty(len(starts), np.uint64)
+    at = 0
+    while at < len(starts):
+        base = starts[at]
+        to = max(at + 1, int(np.searchsorted(starts, base + HASH_BYTES)))
+        out[at:to] = _hash_spans(buf[base : int(ends[at:to].max())], starts[at:to] - base, ends[at:to] - base)
+        at = to
+    return out
+
+
+def _hash_spans(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     if not len(starts):
         return np.zeros(0, np.uint64)
     n = len(buf)

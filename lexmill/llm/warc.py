@@ -4,12 +4,15 @@ A WARC that was compressed as one gzip stream can't be read at random.  The
 normaliser inflates such a stream once, front to back, with a bounded buffer,
 rewrites every record as a gzip member of its own, and writes a sidecar index of
 the members' offsets.  Files that have members already (one or more records each)
-are read the same way.  A file is one task's work, as its stream can't be split.
+are read the same way.  Where a header can't be read, the stream is passed over up to
+the next line that begins a record.  A file is one task's work, as its stream can't be
+split.
 """
 
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -23,6 +26,8 @@ from .runtime import cut
 
 CHUNK = 1 << 18
 LEVEL = 6
+#: Tasks that files are spread over at most; each does its files one after another.
+TASKS = 20000
 
 INDEX = (
     "source string, file string, record long, offset long, length long, type string, uri string, id string, "
@@ -48,7 +53,13 @@ def record_bytes(page_id, url: str | None, html: str | None) -> bytes:
 def write_monolithic(
     pages: DataFrame, folder: str, page_id: str = "page_id", url: str = "url", html: str = "html", level: int = 1
 ) -> DataFrame:
-    """(path) of files that hold a partition's pages each, as one gzip stream."""
+    """(path) of files that hold a partition's pages each, as one gzip stream.
+
+    A null id or url has no header line, a null html makes a record without content; empty
+    and very long ones, ties and repeated rows are records like any other.  A partition
+    without rows has no file, an empty table none at all.  Columns that aren't named aren't
+    read.
+    """
     rows = pages.select(
         F.spark_partition_id().alias("part"), F.col(page_id).alias("id"), F.col(url).alias("url"), F.col(html).alias("html")
     )
@@ -105,42 +116,56 @@ def inflate(stream, chunk: int = CHUNK) -> Iterator[bytes]:
 
 
 class Pieces:
-    """A stream of byte pieces, read by separator or by count."""
+    """A stream of byte pieces, read by line or by count; ``at`` is the place in what is held."""
 
     def __init__(self, pieces: Iterator[bytes]):
-        self.pieces, self.held = pieces, b""
+        self.pieces, self.held, self.at = pieces, b"", 0
 
     def more(self) -> bool:
         got = next(self.pieces, None)
         if got is None:
             return False
-        self.held += got
+        self.held, self.at = self.held[self.at :] + got, 0
         return True
 
-    def upto(self, separator: bytes, limit: int = 1 << 20) -> bytes | None:
-        """Bytes before the separator, which is passed; None at the end."""
-        while (at := self.held.find(separator)) < 0:
-            if len(self.held) > limit:
-                raise Damaged("no header")
+    def give_back(self, data: bytes) -> None:
+        self.held, self.at = data + self.held[self.at :], 0
+
+    def line(self) -> bytes | None:
+        """The next line with its end, however long; None at the end of the stream."""
+        seen = 0
+        while (end := self.held.find(b"\n", self.at + seen)) < 0:
+            seen = len(self.held) - self.at
             if not self.more():
                 return None
-        got, self.held = self.held[:at], self.held[at + len(separator) :]
+        got, self.at = self.held[self.at : end + 1], end + 1
         return got
 
+    def next_record(self) -> bool:
+        """Pass everything up to the next line that begins a record; False if there is none."""
+        while (found := self.held.find(b"\nWARC/1.", self.at)) < 0:
+            self.at = max(self.at, len(self.held) - 8)
+            if not self.more():
+                return False
+        self.at = found + 1
+        return True
+
     def take(self, count: int) -> Iterator[bytes]:
         while count:
-            if not self.held and not self.more():
+            if self.at == len(self.held) and not self.more():
                 raise Damaged("truncated")
-            got, self.held = self.held[:count], self.held[count:]
+            got = self.held[self.at : self.at + count]
+            self.at += len(got)
             count -= len(got)
             yield got
 
     def skip_breaks(self) -> bool:
         """Pass line ends; False at the end of the stream."""
         while True:
-            self.held = self.held.lstrip(b"\r\n")
-            if self.held:
-                return True
+            while self.at < len(self.held):
+                if self.held[self.at] not in b"\r\n":
+                    return True
+                self.at += 1
             if not self.more():
                 return False
 
@@ -156,38 +181,67 @@ class Entry:
 
 
 def fields_of(head: bytes) -> dict[str, str]:
-    lines = head.decode("utf-8", "replace").split("\r\n")
-    if not lines[0].startswith("WARC/"):
-        raise Damaged("no header")
-    out = {}
+    """Fields of a header by their names in lower case; a line that begins with white space goes on with the one before."""
+    lines = head.decode("utf-8", "replace").replace("\r\n", "\n").split("\n")
+    out: dict[str, str] = {}
+    name = ""
     for line in lines[1:]:
-        name, _, value = line.partition(":")
-        out[name.strip().lower()] = value.strip()
+        if line[:1] in (" ", "\t") and name:
+            out[name] += " " + line.strip()
+        elif line:
+            name, _, value = line.partition(":")
+            name = name.strip().lower()
+            out[name] = value.strip()
     return out
 
 
+def read_header(pieces: Pieces) -> bytes | None:
+    """A record's header with the blank line behind it; None if no header stands here.
+
+    Only what looks like a header is held: the version line, then lines that have a colon
+    or go on with the one before.
+    """
+    got = []
+    while (line := pieces.line()) is not None:
+        bare = line.rstrip(b"\r\n")
+        if not got and not bare.startswith(b"WARC/1."):
+            pieces.give_back(b"\n")
+            return None
+        got.append(line)
+        if not bare:
+            return b"".join(got)
+        if len(got) > 1 and b":" not in bare and not (len(got) > 2 and bare[:1] in b" \t"):
+            pieces.give_back(b"\n" + line)  # it may begin a record
+            return None
+    raise Damaged("truncated")
+
+
 def rewrite(stream, out, level: int = LEVEL, chunk: int = CHUNK) -> tuple[list[Entry], str]:
     """Every whole record of ``stream`` as a member of ``out``; their places and how it ended.
 
-    A record that the stream breaks off in is left out, as is all after it.
+    A record that the stream breaks off in is left out.  A header that can't be read, or
+    gives no length, is passed over with all up to the next line that begins a record.
     """
     entries: list[Entry] = []
-    at = 0
+    at, skipped = 0, False
     try:
         pieces = Pieces(inflate(stream, chunk))
         while pieces.skip_breaks():
-            head = pieces.upto(b"\r\n\r\n")
-            if head is None:
-                raise Damaged("truncated")
-            fields = fields_of(head)
-            try:
-                size = int(fields["content-length"])
-            except (KeyError, ValueError) as e:
-                raise Damaged("no length") from e
+            head = read_header(pieces)
+            fields = fields_of(head) if head else {}
+            length = fields.get("content-length", "")
+            if not (length.isascii() and length.isdigit()):
+                skipped = True
+                if head:
+                    pieces.give_back(b"\n")
+                if not pieces.next_record():
+                    break
+                continue
+            size = int(length)
             squeeze = zlib.compressobj(level, zlib.DEFLATED, 31)
             # a member is held until its record is known to be whole; it is one record's
-            # compressed size, the only thing here that isn't bounded by the chunk
-            member = [squeeze.compress(head + b"\r\n\r\n")]
+            # header and compressed size, the only thing here that isn't bounded by the chunk
+            member = [squeeze.compress(head)]
             member += [squeeze.compress(p) for p in pieces.take(size)]
             member += [squeeze.compress(b"\r\n\r\n"), squeeze.flush()]
             length = sum(map(len, member))
@@ -197,7 +251,7 @@ def rewrite(stream, out, level: int = LEVEL, chunk: int = CHUNK) -> tuple[list[E
             at += length
     except Damaged as e:
         return entries, str(e)
-    return entries, "whole"
+    return entries, "skipped" if skipped else "whole"
 
 
 def normalise(files: DataFrame, folder: str, path: str = "path", level: int = LEVEL) -> DataFrame:
@@ -205,13 +259,15 @@ def normalise(files: DataFrame, folder: str, path: str = "path", level: int = LE
 
     Writes ``<name>.warc.gz`` and its sidecar ``<name>.warc.gz.idx`` (a JSON line
     per record) to ``folder``; a file's name is that of its source with a hash of
-    the source's whole path.  ``status`` is how the source ended: whole, truncated,
-    corrupt, no header or no length; in the last four cases records before the
-    damage are kept.  A source without records gives an empty file, an empty index
-    and no rows.  Null paths are passed over; a repeated path is done once.  The
-    result is computed at once, as the files have to be there.
+    the source's whole path.  ``status`` is how the source was read: whole; skipped, if
+    something in it that isn't a record was passed over; truncated or corrupt, if the
+    stream ends early, and then all records before the damage are kept.  A source without
+    records gives an empty file, an empty index and no rows.  Records may be empty or of
+    any length, and repeated ones are all kept.  Null paths are passed over; a repeated
+    path is done once; an empty table gives no rows; other columns aren't read, whatever
+    their names.  The result is computed at once, as the files have to be there.
     """
-    todo = files.select(F.col(path).alias("path")).filter("path IS NOT NULL").distinct()
+    todo = cut(files.select(F.col(path).alias("path")).filter("path IS NOT NULL").distinct())
     count = todo.count()
     if not count:
         return files.sparkSession.createDataFrame([], INDEX)
@@ -236,7 +292,7 @@ def normalise(files: DataFrame, folder: str, path: str = "path", level: int = LE
                     ]
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
 
-    return cut(todo.repartition(count).mapInArrow(run, INDEX))
+    return cut(todo.repartition(min(count, TASKS)).mapInArrow(run, INDEX))
 
 
 # Reading at random
@@ -254,14 +310,20 @@ def read_member(stream, offset: int, length: int) -> tuple[dict[str, str], bytes
     """Fields and content of the record whose member lies there."""
     stream.seek(offset)
     data = zlib.decompress(stream.read(length), 31)
-    head, _, rest = data.partition(b"\r\n\r\n")
-    fields = fields_of(head)
-    return fields, rest[: int(fields["content-length"])]
+    end = re.search(rb"\n\r?\n", data).end()
+    fields = fields_of(data[:end])
+    return fields, data[end : end + int(fields["content-length"])]
 
 
 def read_pages(index: DataFrame) -> DataFrame:
-    """(page_id, url, html, content_length) of each indexed record, read by its offset alone."""
-    schema = "page_id long, url string, html string, content_length long"
+    """(page_id, url, html, content_length) of each indexed record, read by its offset alone.
+
+    ``page_id`` is the record id as a string, without the mark of ``write_monolithic``'s
+    ids; a record without an id or a target has null there, a metadata record null html.
+    Bytes that aren't UTF-8 are replaced.  Every row of the index is read, repeated ones
+    each time; an empty index gives no rows; its other columns aren't read.
+    """
+    schema = "page_id string, url string, html string, content_length long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, stream = None, None
@@ -275,9 +337,11 @@ def read_pages(index: DataFrame) -> DataFrame:
                     fs, path = open_fs(file)
                     held, stream = file, fs.open_input_file(path)
                 fields, body = read_member(stream, offset, length)
-                key = fields.get("warc-record-id", "").removeprefix("<urn:page:").removesuffix(">")
+                key = fields.get("warc-record-id")
+                if key is not None and key.startswith("<urn:page:"):
+                    key = key[10:].removesuffix(">")
                 html = None if fields.get("warc-type") == "metadata" else body.decode("utf-8", "replace")
-                rows.append((int(key) if key else None, fields.get("warc-target-uri"), html, int(fields["content-length"])))
+                rows.append((key, fields.get("warc-target-uri"), html, int(fields["content-length"])))
                 size += len(body)
                 if size > 8 << 20:
                     yield _pages(rows)
@@ -289,7 +353,7 @@ def read_pages(index: DataFrame) -> DataFrame:
 
 
 def _pages(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.string(), pa.string(), pa.int64()]
+    kinds = [pa.string(), pa.string(), pa.string(), pa.int64()]
     return pa.RecordBatch.from_arrays(
         [pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["page_id", "url", "html", "content_length"]
     )

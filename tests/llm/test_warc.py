@@ -40,8 +40,8 @@ def test_damage_keeps_what_comes_before():
     out, entries, status = rewritten(data[:-30])
     assert status == "truncated" and 40 < len(entries) <= 50
     assert gzip.decompress(out) == b"".join(records[: len(entries)])
-    assert rewritten(gzip.compress(records[0] + b"nonsense\r\n\r\n"))[2] == "no header"
-    assert rewritten(gzip.compress(b"WARC/1.0\r\nA: b\r\n\r\n"))[2] == "no length"
+    assert rewritten(gzip.compress(records[0] + b"nonsense\r\n\r\n"))[2] == "skipped"
+    assert rewritten(gzip.compress(b"WARC/1.0\r\nA: b\r\n\r\n"))[1:] == ([], "skipped")
     assert rewritten(b"not gzip at all")[1:] == ([], "corrupt")
     assert rewritten(b"")[1:] == ([], "whole")
     assert rewritten(gzip.compress(b""))[1:] == ([], "whole")
@@ -53,7 +53,7 @@ def test_round_trip_through_files(spark, tmp_path):
     index = warc.normalise(files.union(files).union(spark.createDataFrame([(None,)], "path string")), f"{tmp_path}/out")
     assert {r.status for r in index.collect()} == {"whole"}
     got = sorted((tuple(r) for r in warc.read_pages(index).collect()), key=str)
-    want = [(i, u and u.replace("\r\n", "%0D%0A"), h, len((h or "").encode())) for i, u, h in PAGES]
+    want = [(None if i is None else str(i), u and u.replace("\r\n", "%0D%0A"), h, len((h or "").encode())) for i, u, h in PAGES]
     assert got == sorted(want, key=str)
     side = warc.read_index(spark, f"{tmp_path}/out")
     assert sorted(map(str, warc.read_pages(side).collect())) == sorted(map(str, warc.read_pages(index).collect()))
@@ -65,3 +65,26 @@ def test_empty_tables(spark, tmp_path):
     none = spark.createDataFrame([], "page_id long, url string, html string")
     assert warc.write_monolithic(none, f"{tmp_path}/in").count() == 0
     assert warc.normalise(spark.createDataFrame([], "path string"), f"{tmp_path}/out").count() == 0
+    index = warc.normalise(spark.createDataFrame([], "path string"), f"{tmp_path}/out")
+    assert warc.read_pages(index).count() == 0
+
+
+@pytest.mark.parametrize("chunk", [11, 1 << 18])
+def test_bad_headers_cost_themselves_only(chunk):
+    records = [warc.record_bytes(k, "u", f"{k}" * 99) for k in range(6)]
+    odd = [b"junk without end ", b"WARC/1.0\r\nno colon here\r\n", b"WARC/1.1\r\nContent-Length: -5\r\n\r\n", b"WARC/1.0\r\nA: b\r\n\r\nbody\r\n\r\n", b"\x00\xff" * 500 + b"\r\n"]
+    data = b"".join(x for pair in zip(records, odd) for x in pair) + records[5]
+    out, entries, status = rewritten(gzip.compress(data), chunk)
+    # junk that doesn't end in a line end takes nothing with it but itself
+    assert status == "skipped" and gzip.decompress(out) == b"".join(r for k, r in enumerate(records) if k != 1)
+    assert len(entries) == 5
+
+
+def test_long_headers_and_foreign_records(spark, tmp_path):
+    long = b"WARC/1.0\r\nWARC-Type: response\r\nX-Long: " + b"y" * (3 << 20) + b"\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
+    folded = b"WARC/1.1\nWARC-Type: resource\nWARC-Target-URI: http://a/\n  b\nWARC-Record-ID: <urn:uuid:7e0c4f7a-58c6-4c1e-9f0a-2b1f3a1d9c77>\nContent-Length: 2\n\nhi\r\n\r\n"
+    plain = warc.record_bytes("a-7", "u", "x")
+    (tmp_path / "f.warc.gz").write_bytes(gzip.compress(long + folded + plain))
+    index = warc.normalise(spark.createDataFrame([(f"{tmp_path}/f.warc.gz",)], "path string"), f"{tmp_path}/out")
+    got = sorted((tuple(r) for r in warc.read_pages(index).collect()), key=str)
+    assert got == sorted([(None, None, "abc", 3), ("<urn:uuid:7e0c4f7a-58c6-4c1e-9f0a-2b1f3a1d9c77>", "http://a/ b", "hi", 2), ("a-7", "u", "x", 1)], key=str)
