@@ -18,15 +18,15 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .text import Words, doc_chunks, hash_spans, mix, split_words
 
-#: Labelled documents that the field is trained on at most, in order of a hash of their id.
+#: Labelled documents that the field is trained on at most, as many of each language.
 TRAIN_DOCS = 1500
-#: Documents longer than this many bytes aren't trained on.
-TRAIN_BYTES = 100_000
+#: Words of a document that it is trained on at most, in windows drawn from all of it.
+TRAIN_WORDS = 4096
 #: Training sequences that are drawn from them, and words of each.
 SEQUENCES = 6000
 LENGTH = 32
@@ -261,21 +261,56 @@ def _chances(e: np.ndarray, transitions: np.ndarray, start: np.ndarray) -> tuple
     return p, pair
 
 
-def train(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", lang: str = "lang", max_docs: int = TRAIN_DOCS, **fitting) -> Field | None:
-    """A field fitted on at most ``max_docs`` documents that have a language, None if there are none."""
-    named = docs.select(F.col(doc_id).alias("id"), F.col(lang).cast("string").alias("lang"), F.col(text).alias("text")).filter(
-        (F.octet_length("text") <= TRAIN_BYTES) & F.col("lang").isNotNull() & (F.col("lang") != "")
+def _windows(max_words: int, length: int):
+    """Texts of over ``max_words`` words become that many words of them, in windows drawn from the whole text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chunk in doc_chunks(batch, "text"):
+                w = split_words(chunk.column("text"))
+                out = chunk.column("text").to_pylist()
+                seeds = chunk.column("order").to_numpy(zero_copy_only=False)
+                for d in np.flatnonzero(np.diff(w.ptr) > max_words):
+                    a, n = int(w.ptr[d]), int(w.ptr[d + 1] - w.ptr[d])
+                    rng = np.random.default_rng(int(seeds[d]) & 0xFFFFFFFF)
+                    first = a + np.sort(rng.choice(n - length + 1, max_words // length, replace=False))
+                    out[d] = b" ".join(w.buf[w.starts[k] : w.ends[k + length - 1]].tobytes() for k in first).decode("utf-8", "replace")
+                yield pa.RecordBatch.from_arrays([chunk.column("order"), chunk.column("lang"), pa.array(out, pa.string())], ["order", "lang", "text"])
+
+    return run
+
+
+def train(
+    docs: DataFrame, text: str = "text", doc_id: str = "doc_id", lang: str = "lang", max_docs: int = TRAIN_DOCS,
+    max_words: int = TRAIN_WORDS, **fitting,
+) -> Field | None:
+    """A field fitted on at most ``max_docs`` documents that have a language, None if there are none.
+
+    Every language has about the same number of them, one at least (if there are more
+    languages than ``max_docs``, so many have one), in order of a hash of id and text.  Of a
+    document of more than ``max_words`` words so many are trained on, in windows drawn from
+    all of it.  A repeated row is one; null ids count, null texts and wordless ones don't.
+    """
+    named = docs.select(F.xxhash64(doc_id, text).alias("order"), F.col(lang).cast("string").alias("lang"), F.col(text).alias("text")).filter(
+        F.col("lang").isNotNull() & (F.col("lang") != "") & F.col("text").isNotNull()
     )
-    chosen = named.select("id").filter("id IS NOT NULL").orderBy(F.xxhash64("id"), "id").limit(max_docs).distinct()
-    # ids of max_docs documents at most, so they are broadcast
-    got = named.join(F.broadcast(chosen), "id", "left_semi").toArrow().combine_chunks()
-    got = got.sort_by([("id", "ascending"), ("lang", "ascending"), ("text", "ascending")]).slice(0, max_docs)
+    languages = docs.select(F.col(lang).cast("string").alias("lang")).filter("lang <> ''").distinct().count()
+    if not languages:
+        return None
+    # each task hands on so many rows of a language at most
+    each = min(1000, -(-max_docs // languages))
+    ranked = named.select("lang", "order").withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("order")))
+    chosen = ranked.filter(F.col("rank") <= each).orderBy("rank", "lang").limit(max_docs).select("lang", "order").distinct()
+    # max_docs rows at most, so they are broadcast
+    taken = named.join(F.broadcast(chosen), ["lang", "order"]).dropDuplicates(["lang", "order"]).select("order", "lang", "text")
+    got = taken.mapInArrow(_windows(max(max_words, LENGTH), LENGTH), "order long, lang string, text string").toArrow().combine_chunks()
     if not got.num_rows:
         return None
-    w = split_words(got.column("text").combine_chunks() if got.num_rows else pa.array([], pa.string()))
-    languages = sorted(set(got.column("lang").to_pylist()))
+    got = got.sort_by([("lang", "ascending"), ("order", "ascending")])
+    w = split_words(got.column("text").combine_chunks())
     if not len(w.starts):
         return None
+    languages = sorted(set(got.column("lang").to_pylist()))
     code = np.array([languages.index(c) for c in got.column("lang").to_pylist()])
     return fit(w, code, languages, **fitting)
 

@@ -95,3 +95,27 @@ def test_a_very_long_text(field):
     lang, _, words, spans = langid.label_batch(text, field)
     assert words.to_pylist() == [600_000, 3] and lang.to_pylist() == ["en", "fr"]
     assert spans.to_pylist()[0][0]["end_word"] == 600_000
+
+
+def test_training_takes_long_texts_rare_languages_and_repeated_rows(spark):
+    rows = [(i, " ".join(f"aa{(i * 7 + k * k) % 97}" for k in range(30000)), "aa") for i in range(3)]
+    rows += [(i, " ".join(f"bb{(i * 5 + k * k) % 89}" for k in range(30000)), "bb") for i in range(3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = langid.language_spans(df, sequences=200, epochs=2).collect()
+    assert {r.doc_id: 0 for r in got} and sorted(r.lang for r in got) == ["aa"] * 3 + ["bb"] * 3
+    # one document in a language of its own, among many of another
+    many = [(i, f"xx{i} yy{i % 7} zz the and of to in", "en") for i in range(400)] + [(999, "kuq lorp mabd kuq senf", "qq")]
+    some = langid.train(spark.createDataFrame(many, "doc_id long, text string, lang string"), max_docs=20, sequences=50, epochs=1)
+    assert some.languages == ["en", "qq"]
+    # one id over and over
+    same = spark.createDataFrame([(1, "one two three", "en")] * 300 + [(1, f"four five {k}", "en") for k in range(200)], "doc_id long, text string, lang string")
+    assert langid.train(same, max_docs=5, sequences=10, epochs=1) is not None
+
+
+def test_windows_come_from_the_whole_text():
+    text = " ".join(f"w{k}" for k in range(20000))
+    batch = pa.RecordBatch.from_arrays([pa.array([5, 6]), pa.array(["x", "y"]), pa.array([text, "a b"])], ["order", "lang", "text"])
+    out = next(iter(langid._windows(640, 32)(iter([batch])))).column("text").to_pylist()
+    words = [int(w[1:]) for w in out[0].split()]
+    assert len(words) == 640 and out[1] == "a b"
+    assert min(words) < 5000 and max(words) > 15000
