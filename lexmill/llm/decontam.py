@@ -12,6 +12,7 @@ exact containment of the item's shingle set in the document's.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,6 +27,8 @@ N = 5
 THRESHOLD = 0.6
 #: Chance that a pair at the threshold shares no minimum.
 MISS = 0.005
+#: At so few shingles per bin, bins would spare next to nothing: all shingles are compared, and nothing is missed.
+ALONE = 0.25
 #: Least numbers of shared shingles of the item classes.
 CLASSES = (1, 2, 3, 5, 8, 12, 20, 40, 80)
 
@@ -38,6 +41,7 @@ def item_class(size: int, threshold: float) -> int:
     return int(np.searchsorted(CLASSES, need, side="right") - 1)
 
 
+@functools.cache
 def load(cls: int) -> float:
     """Shingles per bin at which ``CLASSES[cls]`` shared ones are missed with chance MISS."""
     p = 1 - MISS ** (1 / CLASSES[cls])
@@ -49,7 +53,8 @@ def load(cls: int) -> float:
 
 
 def bins(part: int, cls: int) -> int:
-    return max(1, int(np.ceil((1 << part) / load(cls))))
+    """Bins of a class in a partition; 0, every shingle is a minimum, where most would be alone in their bin."""
+    return 0 if load(cls) <= ALONE else max(1, int(np.ceil((1 << part) / load(cls))))
 
 
 def partition_of(sizes: np.ndarray) -> np.ndarray:
@@ -64,8 +69,8 @@ def bin_of(values: np.ndarray, n_bins: int) -> np.ndarray:
 
 def bin_minima(sorted_values: np.ndarray, ptr: np.ndarray, n_bins: int) -> np.ndarray:
     """Positions of the least value of every bin of every set."""
-    if not len(sorted_values):
-        return np.zeros(0, np.int64)
+    if not len(sorted_values) or not n_bins:
+        return np.arange(len(sorted_values))
     b = bin_of(sorted_values, n_bins)
     first = np.ones(len(b), bool)
     first[1:] = b[1:] != b[:-1]
@@ -186,9 +191,11 @@ def contained_items(
     Containment is the share of the item's distinct n-word shingles that the
     document has too; an item of fewer than n words counts as one shingle of all
     its words.  Pairs of at least ``threshold`` are returned.  A null or wordless
-    text is in no pair; repeated rows on either side give repeated result rows;
-    null ids are kept as they are; an empty table gives no rows.  Columns other
-    than those named are not read.  The items are broadcast if they are checked
+    text is in no pair, nor is one of fewer words than the item's shingle; texts of any
+    length are searched whole; repeated rows on either side give repeated result rows, and
+    of equal shares all are returned; ids keep their types, null ids are kept as they are;
+    an empty table gives no rows.  Columns other than those named are not read, so theirs
+    may have any names.  The items are broadcast if they are checked
     to take at most ``broadcast_bytes``, else minima are joined by a shuffle.
     """
     d = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
@@ -197,16 +204,16 @@ def contained_items(
     size = b.agg(F.coalesce(F.sum(F.octet_length("text") + 64), F.lit(0))).first()[0]
     if not may_broadcast(size, 4, limit):
         return _by_shuffle(d, b, n, threshold)
-    rows = b.collect()
-    items = Items([r[0] for r in rows], [r[1] for r in rows], n, threshold)
+    rows = b.toArrow().combine_chunks()
+    items = Items(list(range(rows.num_rows)), rows.column("text").to_pylist(), n, threshold)
     schema = _schema_of(d, {"doc_id": "doc_id"}) + ", " + _schema_of(b, {"item_id": "item_id"}) + ", " + _RESULT
     if not items.sets:
         return d.sparkSession.createDataFrame([], schema)
-    shared = d.sparkSession.sparkContext.broadcast(items)
+    shared = d.sparkSession.sparkContext.broadcast((items, rows.column("item_id").combine_chunks()))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        its = shared.value
-        item_ids = pa.array(its.ids)
+        its, ids = shared.value
+        item_ids = ids.take(pa.array(its.ids))
         for batch in batches:
             for chunk in doc_chunks(batch, "text"):
                 at, it, share = _matches(split_words(chunk.column("text")), its)
@@ -309,8 +316,9 @@ def drop_contaminated(
 ) -> DataFrame:
     """``docs`` without the rows that hold an item of ``benchmark``; all columns stay.
 
-    Rows with a null or wordless text stay.  ``docs`` must give its rows in the
-    same order each time it is computed (a file scan does).
+    Rows with a null or wordless text stay, repeated rows stay or go together, and an
+    empty table of either kind drops nothing.  ``docs`` must give its rows in the same
+    order each time it is computed (a file scan does).
     """
     row = free_name(docs, "row")
     rows = docs.withColumn(row, F.monotonically_increasing_id())

@@ -75,3 +75,17 @@ def test_drop_keeps_columns_and_clean_rows(spark):
     assert sorted(r.doc_id for r in kept.collect()) == [2, 3]
     assert decontam.drop_contaminated(d, b.limit(0)).count() == 3
     assert decontam.drop_contaminated(d.limit(0), b).count() == 0
+
+
+def test_ids_of_any_type_and_very_long_texts(spark):
+    long = " ".join(f"z{k}" for k in range(60000)) + " two three four five six " + "y " * 60000
+    for kind, ids in (("int", [3, None]), ("smallint", [3, None]), ("string", ["x", None])):
+        b = spark.createDataFrame([(str(i) if kind == "string" and i else i, "two three four five six") for i in ids], f"item_id {'string' if kind == 'string' else 'int'}, text string")
+        b = b.selectExpr(f"CAST(item_id AS {kind}) AS item_id", "text", "1 AS doc_id")
+        d = spark.createDataFrame([(7, long, 0), (7, long, 0), (None, "none", 0)], "doc_id int, text string, item_id int").selectExpr("CAST(doc_id AS smallint) AS doc_id", "text", "item_id")
+        for limit in (None, 0):
+            out = decontam.contained_items(d, b, broadcast_bytes=limit)
+            assert dict(out.dtypes) == {"doc_id": "smallint", "item_id": kind, "containment": "double"}
+            assert got(out) == sorted([(7, i, 1.0) for i in ids for _ in range(2)], key=str)
+            assert decontam.contained_items(d.limit(0), b, broadcast_bytes=limit).count() == 0
+            assert decontam.contained_items(d, b.limit(0), broadcast_bytes=limit).count() == 0
