@@ -70,7 +70,7 @@ def unpack_bits(words: np.ndarray, bits: int) -> np.ndarray:
 class Shard:
     """A packed run of documents."""
 
-    MAGIC = b"LXTK\x01\0\0\0"
+    MAGIC = b"LXTK\x02\0\0\0"
 
     def __init__(self, doc_ids, doc_starts, n_tokens, bits, block_tokens, block_offsets, payload):
         self.doc_ids, self.doc_starts = list(doc_ids), np.asarray(doc_starts, np.int64)
@@ -105,26 +105,45 @@ class Shard:
         return self.tokens(int(self.doc_starts[k]), int(self.doc_starts[k + 1]))
 
     def to_bytes(self) -> bytes:
-        """File form: magic, counts, ids (with a byte each that says if it is null), starts, offsets, payload."""
-        ids = np.array([0 if i is None else i for i in self.doc_ids], "<i8")
+        """File form: magic, counts, kind of ids, ids (with a byte each that says if it is null), starts, offsets, payload.
+
+        Ids are whole numbers of 64 bits, strings or bytes, all of one kind; others raise TypeError.
+        """
+        there = {type(i) for i in self.doc_ids if i is not None}
+        kinds = [k for k, t in enumerate((int, str, bytes)) if there <= {t}]
+        if not kinds:
+            raise TypeError(f"ids of {sorted(t.__name__ for t in there)} have no file form")
         null = np.array([i is None for i in self.doc_ids], np.uint8)
-        head = struct.pack("<QQQQQ", len(ids), self.n_tokens, self.bits, self.block_tokens, len(self.block_offsets))
-        parts = [self.MAGIC, head, ids.tobytes(), null.tobytes(), self.doc_starts.astype("<i8").tobytes()]
+        if kinds[0] == 0:
+            ids = np.array([0 if i is None else i for i in self.doc_ids], "<i8").tobytes()
+        else:
+            raw = [b"" if i is None else i.encode() if kinds[0] == 1 else i for i in self.doc_ids]
+            ids = np.concatenate([[0], np.cumsum([len(x) for x in raw])]).astype("<i8").tobytes() + b"".join(raw)
+        head = struct.pack("<QQQQQQQ", len(self.doc_ids), self.n_tokens, self.bits, self.block_tokens, len(self.block_offsets), kinds[0], len(ids))
+        parts = [self.MAGIC, head, ids, null.tobytes(), self.doc_starts.astype("<i8").tobytes()]
         return b"".join([*parts, self.block_offsets.astype("<i8").tobytes(), bytes(self.payload)])
 
     @classmethod
     def from_bytes(cls, data: bytes) -> Shard:
         if data[:8] != cls.MAGIC:
             raise ValueError("not a token shard")
-        docs, n, bits, block, blocks = struct.unpack_from("<QQQQQ", data, 8)
-        at = 48
-        ids = np.frombuffer(data, "<i8", docs, at)
-        null = np.frombuffer(data, np.uint8, docs, at + 8 * docs)
-        at += 9 * docs
+        docs, n, bits, block, blocks, kind, size = struct.unpack_from("<QQQQQQQ", data, 8)
+        at = 64
+        if kind:
+            cuts = np.frombuffer(data, "<i8", docs + 1, at)
+            base = at + 8 * (docs + 1)
+            ids: list = [data[base + a : base + b] for a, b in zip(cuts[:-1], cuts[1:])]
+            if kind == 1:
+                ids = [x.decode() for x in ids]
+        else:
+            ids = np.frombuffer(data, "<i8", docs, at).tolist()
+        at += size
+        null = np.frombuffer(data, np.uint8, docs, at)
+        at += docs
         starts = np.frombuffer(data, "<i8", docs + 1, at)
         at += 8 * (docs + 1)
         offsets = np.frombuffer(data, "<i8", blocks, at)
-        return cls([None if z else int(i) for i, z in zip(ids, null)], starts, n, bits, block, offsets, data[at + 8 * blocks :])
+        return cls([None if z else i for i, z in zip(ids, null)], starts, n, bits, block, offsets, data[at + 8 * blocks :])
 
 
 _encoders: dict[bytes, object] = {}
@@ -151,7 +170,7 @@ def pack_tokens(
     of a shard has ids doc_starts[k]:doc_starts[k+1]; a null or empty text has none,
     but its id is listed; a null id is kept as null, a repeated row is packed each
     time.  A document isn't split between shards, however long.  An empty table gives
-    no shard.  Columns that aren't named are not read.
+    no shard.  Ids keep the type of their column.  Columns that aren't named are not read.
     """
     with open(vocabulary, "rb") as f:
         ranks = f.read()
@@ -159,12 +178,12 @@ def pack_tokens(
     shared = docs.sparkSession.sparkContext.broadcast(ranks)  # of the vocabulary's size, whatever the corpus
     rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
     kind = dict(rows.dtypes)["id"]
-    id_type = {"bigint": pa.int64(), "int": pa.int32()}.get(kind, pa.string())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = encoder(shared.value, pattern)
-        ids, parts, held = [], [], 0
+        ids, parts, held, id_type = [], [], 0, None
         for batch in batches:
+            id_type = batch.column("id").type
             for i, t in zip(batch.column("id"), batch.column("text")):
                 t = t.as_py()
                 got = np.array(code.encode_ordinary(t) if t else [], np.uint32)
@@ -177,7 +196,7 @@ def pack_tokens(
         if ids:
             yield _row(Shard.pack(ids, parts, bits, block), id_type)
 
-    return rows.mapInArrow(run, SHARD.format(id=kind if id_type != pa.string() else "string"))
+    return rows.mapInArrow(run, SHARD.format(id=kind))
 
 
 def _row(s: Shard, id_type: pa.DataType) -> pa.RecordBatch:

@@ -59,3 +59,19 @@ def test_documents_round_trip(spark, tmp_path):
     back = [tokens.Shard.from_bytes(open(f.file, "rb").read()) for f in files]
     assert sorted(i or 0 for s in back for i in s.doc_ids) == sorted(i or 0 for i, _ in rows)
     assert tokens.pack_tokens(df.limit(0), VOCABULARY).count() == 0
+
+
+@pytest.mark.parametrize("kind, ids", [("smallint", [3, None, 5]), ("int", [3, None, 5]), ("string", ["12", "7", None]), ("binary", [b"\xff", b"", None]), ("date", None)])
+def test_ids_keep_their_type(spark, kind, ids):
+    df = spark.createDataFrame([("3", "a b"), (None, "c"), ("5", None)], "k string, text string").coalesce(1)
+    df = df.selectExpr("DATE'2020-01-01' AS doc_id", "text") if ids is None else spark.createDataFrame(list(zip(ids, ["a b", "c", None])), f"doc_id {'int' if kind == 'smallint' else kind}, text string").selectExpr(f"CAST(doc_id AS {kind}) AS doc_id", "text").coalesce(1)
+    out = tokens.pack_tokens(df, VOCABULARY)
+    assert dict(out.dtypes)["doc_ids"] == f"array<{kind}>"
+    s = tokens.Shard(*out.collect()[0])
+    if ids is None:
+        with pytest.raises(TypeError):
+            s.to_bytes()
+    else:
+        assert [bytes(i) if isinstance(i, bytearray) else i for i in s.doc_ids] == ids
+        s.doc_ids = ids
+        assert tokens.Shard.from_bytes(s.to_bytes()).doc_ids == ids
