@@ -7,7 +7,8 @@ few sizes left are packed by configurations that a column-generation linear prog
 chooses; the k-th document of a group takes the k-th slot of its size.  The gaps
 that the actual lengths leave are counted by size again, and small documents go to
 the smallest gap that holds them, longest first.  Ranks within a size are the only
-thing that the rows themselves have to be sorted for.
+thing that the rows themselves have to be sorted for, in as many tasks as the size has
+rows for; full pieces fill bins of their own and are only counted.
 """
 
 from __future__ import annotations
@@ -29,8 +30,8 @@ CAPACITY = 2048
 GROUPS = 32
 #: Documents up to this share of the capacity are small.
 SMALL = 1 / 8
-#: Parts that a size's documents are ranked in, each by one task.
-RANK_PARTS = 16
+#: Documents of one size that a task ranks, about.
+RANK_ROWS = 1 << 20
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -241,9 +242,11 @@ def _look_up(spark, plan: Plan):
     return F.arrow_udf(find, "source long, bin long")
 
 
-def _ranked(df: DataFrame, key: str, order: list[str], parts: int) -> DataFrame:
-    """``df`` with the 0-based ``rank`` of each row among those of its key."""
-    salted = df.withColumn("part", F.pmod(F.xxhash64(*order), F.lit(parts)))
+def _ranked(df: DataFrame, key: str, order: list[str], counts: dict[int, int], rows: int) -> DataFrame:
+    """``df`` with the 0-based ``rank`` of each row among those of its key, of which there are ``counts``."""
+    # as many rows as the capacity at most
+    parts = df.sparkSession.createDataFrame([(k, -(-n // rows)) for k, n in counts.items()], f"{key} long, parts long")
+    salted = df.join(F.broadcast(parts), key).withColumn("part", F.pmod(F.xxhash64(*order), "parts")).drop("parts")
     sizes = salted.groupBy(key, "part").agg(F.count("*").alias("c"))
     before = sizes.select(
         key, "part", (F.sum("c").over(Window.partitionBy(key).orderBy("part")) - F.col("c")).alias("before")
@@ -256,6 +259,19 @@ def _ranked(df: DataFrame, key: str, order: list[str], parts: int) -> DataFrame:
     )
 
 
+def _own_bins(pieces: DataFrame, first: int) -> DataFrame:
+    """Every row in a bin of its own, numbered from ``first`` by the sizes of the partitions; ``pieces`` is kept in the shared folder."""
+    at = pieces.withColumn("k", F.monotonically_increasing_id())
+    part = F.shiftright("k", 33)
+    offsets = []
+    for p, n in sorted((r[0], r[1]) for r in at.groupBy(part).count().collect()):  # a row for each partition
+        offsets.append((p, first))
+        first += n
+    table = pieces.sparkSession.createDataFrame(offsets, "p long, base long")
+    within = F.col("k").bitwiseAND(F.lit((1 << 33) - 1))
+    return at.withColumn("p", part).join(F.broadcast(table), "p").withColumn("bin_id", F.col("base") + within).drop("k", "p", "base")
+
+
 def _histogram(df: DataFrame, key: str) -> dict[int, int]:
     """{value: rows}; at most as many entries as the capacity."""
     return {r[0]: r[1] for r in df.groupBy(key).count().collect()}
@@ -263,7 +279,7 @@ def _histogram(df: DataFrame, key: str) -> dict[int, int]:
 
 def pack(
     docs: DataFrame, capacity: int = CAPACITY, text: str = "text", doc_id: str = "doc_id", length=None,
-    groups: int = GROUPS, small_share: float = SMALL, rank_parts: int = RANK_PARTS,
+    groups: int = GROUPS, small_share: float = SMALL, rank_rows: int = RANK_ROWS,
 ) -> DataFrame:
     """(doc_id, piece, start, length, bin_id): where every part of every document goes.
 
@@ -272,8 +288,10 @@ def pack(
     between ASCII white space unless ``length`` (a Column) gives other ones; null
     or zero lengths (null and empty texts) have no piece.  Each repeated row is
     packed; which of several documents of equal length gets which place follows
-    from a hash of their ids.  A null id is kept.  An empty table gives no rows,
-    and columns that aren't named are not read.
+    from a hash of their ids.  A null id is kept, and so is the ids' type.  A text of any
+    length is counted whole.  Bins are numbered from 0 without holes.  An empty table gives
+    no rows, and columns that aren't named are not read, so theirs may have any names.
+    The plan is made at once, by several jobs.
     """
     spark = docs.sparkSession
     rows = docs.select(
@@ -287,8 +305,10 @@ def pack(
         .withColumn("length", F.least(n - F.col("start"), F.lit(capacity).cast("long"))).drop("n")
     )
     ids = ["doc_id", "piece", "start"]
-    ranked = cut(_ranked(cut(pieces), "length", ids, rank_parts))
-    counts = _histogram(ranked, "length")
+    pieces = cut(pieces)
+    counts = _histogram(pieces, "length")
+    whole = counts.pop(capacity, 0)
+    ranked = cut(_ranked(pieces.filter(F.col("length") < capacity), "length", ids, counts, rank_rows))
     limit = max(int(capacity * small_share), 1)
     large = plan_large({k: v for k, v in counts.items() if k > limit}, capacity, groups)
     out = ["doc_id", "piece", "start", "length"]
@@ -299,13 +319,18 @@ def pack(
         placed = placed.select(*out, F.lit(None).cast("long").alias("bin_id"))
     placed = cut(placed)
     gaps = placed.groupBy("bin_id").agg((F.lit(capacity) - F.sum("length")).cast("long").alias("gap")).filter("gap > 0")
-    gaps = cut(_ranked(cut(gaps), "gap", ["bin_id"], rank_parts))
-    tiny = plan_small({k: v for k, v in counts.items() if k <= limit}, _histogram(gaps, "gap"), capacity, large.bins)
+    gaps = cut(gaps)
+    room = _histogram(gaps, "gap")
+    tiny = plan_small({k: v for k, v in counts.items() if k <= limit}, room, capacity, large.bins)
+    if whole:
+        full = pieces.filter(F.col("length") == capacity).select(*out)
+        placed = placed.unionByName(_own_bins(full, tiny.bins))
     if not tiny.length:
         return placed
     rest = ranked.filter(F.col("length") <= limit).withColumn("at", _look_up(spark, tiny)("length", "rank"))
     rest = rest.select(*out, "at.source", "at.bin")
     fresh = rest.filter("source = -1").select(*out, F.col("bin").alias("bin_id"))
+    gaps = _ranked(gaps, "gap", ["bin_id"], room, rank_rows)
     filled = rest.filter("source >= 0").join(
         gaps.select(F.col("gap").alias("source"), F.col("rank").alias("bin"), "bin_id"), ["source", "bin"]
     ).select(*out, "bin_id")

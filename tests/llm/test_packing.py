@@ -68,6 +68,51 @@ def test_small_plan_is_best_fit_decreasing(counts, gaps):
     assert plan.bins == fresh
 
 
+def fewest_bins(lengths, capacity):
+    """By trying every place for every document."""
+    best = len(lengths)
+
+    def put(k, gaps):
+        nonlocal best
+        if len(gaps) >= best:
+            return
+        if k == len(lengths):
+            best = len(gaps)
+            return
+        for g in set(gaps):
+            if g >= lengths[k]:
+                rest = list(gaps)
+                rest.remove(g)
+                put(k + 1, [*rest, g - lengths[k]])
+        put(k + 1, [*gaps, capacity - lengths[k]])
+
+    put(0, [])
+    return best
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(13, 100), min_size=1, max_size=9), st.integers(1, 4))
+def test_large_plan_against_brute_force(lengths, groups):
+    lengths = sorted(lengths, reverse=True)
+    plan = packing.plan_large(dict(Counter(lengths)), 100, groups)
+    each = -(-len(lengths) // groups)
+    rounded = [max(lengths[k // each * each : k // each * each + each]) for k in range(len(lengths))]
+    # the rounded sizes' best is the bound; the linear program is rounded by one bin for each size at most
+    assert fewest_bins(lengths, 100) <= plan.bins <= fewest_bins(rounded, 100) + len(set(rounded))
+
+
+@pytest.mark.parametrize("rank_rows", [3, 1 << 20])
+def test_ranks_in_many_parts(spark, rank_rows):
+    rows = [(i, "w " * n) for i, n in enumerate([100] * 40 + [30] * 50 + [7] * 60 + [250] * 5)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = packing.pack(df.repartition(5), capacity=100, groups=4, rank_rows=rank_rows).collect()
+    fill = Counter()
+    for g in got:
+        fill[g.bin_id] += g.length
+    assert sum(g.length for g in got) == 40 * 100 + 50 * 30 + 60 * 7 + 5 * 250
+    assert max(fill.values()) <= 100 and sorted(fill) == list(range(len(fill)))
+
+
 def test_word_counts():
     t = ["a b  c", "", None, " x\ty\n", "é è ü"]
     assert packing.count_words(pa.array(t)).tolist() == [len((x or "").encode().split()) for x in t]
@@ -92,6 +137,7 @@ def test_every_piece_once_and_few_bins(spark, seed):
     pieces = [g.length for g in got]
     assert len(fill) <= 1.06 * best_fit_decreasing(pieces, 100) + 8
     assert len(fill) >= sum(pieces) / 100
+    assert sorted(fill) == list(range(len(fill)))
 
 
 def test_nulls_repeats_empty_and_clashing_columns(spark):
