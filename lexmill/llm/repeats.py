@@ -10,8 +10,10 @@ by their minimizer, each shard's task builds the suffix automaton of its shard,
 and the stretches are streamed through it for their matching statistics.  A shard
 is sent to its own task only: sending all of them to all would make the work
 quadratic.  A state of the automaton knows the first document that has its runs,
-so that only earlier documents match.  Lastly the runs of a document are joined
-to maximal spans.
+so that only earlier documents match.  A minimizer with more reference words than fit
+a shard, as of a phrase in very many surroundings, isn't dealt to one: its windows are
+grouped one by one, which any number of tasks share.  Lastly the runs of a document are
+joined to maximal spans.
 """
 
 from __future__ import annotations
@@ -26,13 +28,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .automaton import SuffixAutomaton
-from .runtime import checkpoint_dir, cut, free_name, small
+from .runtime import checkpoint_dir, cut, free_name, remove, small
 from .text import Words, doc_chunks, shingles, split_words, string_buffers
 
 MIN_WORDS = 50
 GRAM = 12
-#: Words of reference text that a shard holds on average.
-SHARD_WORDS = 150_000
+#: Words of reference text that a shard holds on average; a minimizer that has more than half as many has no shard.
+SHARD_WORDS = 100_000
 
 
 def stretches(h: np.ndarray, ptr: np.ndarray, min_words: int, gram: int) -> tuple[np.ndarray, ...]:
@@ -157,6 +159,43 @@ def _shard(min_words: int):
     return run
 
 
+def _windows(min_words: int):
+    """Each window of the stretches with a digest of its words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            size = pc.binary_length(batch.column("body")).to_numpy(zero_copy_only=False) // 4
+            total = np.cumsum(size)
+            at = 0
+            while at < batch.num_rows:  # about 2^16 windows at a time, of one stretch at least
+                end = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + (1 << 16), side="right")))
+                some = batch.slice(at, end - at)
+                words = np.frombuffer(b"".join(some.column("body").to_pylist()), np.uint32).astype(np.uint64)
+                ptr = np.concatenate([[0], np.cumsum(size[at:end])])
+                value, wp = shingles(words, ptr, min_words, short=False)
+                own = np.repeat(np.arange(end - at), np.diff(wp))
+                first = some.column("first").to_numpy(zero_copy_only=False)[own] + np.arange(len(own)) - wp[:-1][own]
+                rows = pa.array(own)
+                yield pa.RecordBatch.from_arrays(
+                    [*(some.column(c).take(rows) for c in ("mini", "idn", "id", "row")), pa.array(first), pa.array(value.view(np.int64))],
+                    ["mini", "idn", "id", "row", "first", "digest"],
+                )
+                at = end
+
+    return run
+
+
+def _grouped(hot: DataFrame, min_words: int, kind: str) -> DataFrame:
+    """The windows of stretches (mini, idn, id, row, first, body) that an earlier document has, with the first of these."""
+    windows = hot.mapInArrow(_windows(min_words), f"mini long, idn boolean, id {kind}, row long, first long, digest long")
+    windows = cut(windows)
+    lead = windows.groupBy("mini", "digest").agg(F.min(F.struct("idn", "id", "row")).alias("lead"), F.count("*").alias("c")).filter("c > 1")
+    return windows.join(lead, ["mini", "digest"]).filter("row <> lead.row").select(
+        "row", "id", "first", (F.col("first") + min_words).alias("end"),
+        F.col("lead.idn").alias("kn"), F.col("lead.id").alias("kv"), F.col("lead.row").alias("kr"),
+    )
+
+
 def _spans(docs: DataFrame, row: str, text: str, doc_id: str, min_words: int, gram: int, shard_words: int) -> DataFrame:
     """(row, id, start_word, end_word, keep) of the maximal repeated spans."""
     if not 1 <= gram <= min_words:
@@ -185,8 +224,16 @@ def _spans(docs: DataFrame, row: str, text: str, doc_id: str, min_words: int, gr
     varied = groups.groupBy("mini").agg(F.count("*").alias("k")).filter("k > 1").select("mini")
     leads = groups.join(varied, "mini", "left_semi").select("mini", "digest", F.col("lead.row").alias("row"))
     reference = cut(parts.join(leads, ["mini", "digest", "row"]).select("mini", "idn", "id", "row", "first", "body"))
-    words = reference.agg(F.coalesce(F.sum(F.octet_length("body")), F.lit(0)) / 4).first()[0]
+    load = cut(reference.groupBy("mini").agg((F.sum(F.octet_length("body")) / 4).cast("long").alias("words")))
+    much = F.col("words") > shard_words // 2
+    words, hot = load.agg(F.coalesce(F.sum(F.when(~much, F.col("words"))), F.lit(0)), F.coalesce(F.sum(much.cast("long")), F.lit(0))).first()
     shards = int(words // shard_words) + 1
+    copies = cut(copies)
+    remove(docs.sparkSession, path)
+    if hot:
+        loaded = small(load.filter(much).select("mini"), hot, 24)
+        copies = copies.unionByName(_grouped(reference.join(loaded, "mini", "left_semi"), min_words, kind))
+        reference = reference.join(loaded, "mini", "left_anti")
     runs = (
         reference.withColumn("shard", F.pmod(F.xxhash64("mini"), F.lit(shards)).cast("int"))
         .repartition(shards, "shard").groupBy("shard")
@@ -214,8 +261,10 @@ def repeated_spans(
     words that go make up the spans, and keep_id is the first of the documents that
     keep a part of one.  Words are compared in lower case and without what stands
     between them.  Repeats within one document stay.  Null, empty and shorter texts
-    have no spans; a repeated row of ``min_words`` words is a span from end to end.
-    An empty table gives no rows; columns that aren't named are not read.  ``docs``
+    have no spans, texts of any length are compared whole; a repeated row of
+    ``min_words`` words is a span from end to end.  Ids keep their type.
+    An empty table gives no rows; columns that aren't named are not read, so theirs may
+    have any names.  Several jobs run before it returns.  ``docs``
     must give its rows in the same order each time (a file scan does).
     """
     row = free_name(docs.select(text, doc_id), "row")
@@ -256,7 +305,8 @@ def remove_repeated_spans(
 
     A cut goes from a span's first word to the word behind it, or to the end of
     the text if there is none.  All rows and columns stay; a text that is one span is
-    what stands before its first word, often empty.
+    what stands before its first word, often empty.  Nulls, empty texts, ties and repeated
+    rows are as ``repeated_spans`` says; an empty table stays one.
     """
     row = free_name(docs, "row")
     spans = free_name(docs, "spans")

@@ -41,7 +41,7 @@ def corpus(seed, docs=60):
     return out
 
 
-@pytest.mark.parametrize("seed,shard_words", [(1, 10**6), (2, 300), (3, 5000)])
+@pytest.mark.parametrize("seed,shard_words", [(1, 10**6), (2, 300), (3, 5000), (4, 50)])
 def test_spans_are_those_of_brute_force(spark, seed, shard_words):
     rows = corpus(seed)
     least = 20
@@ -72,3 +72,19 @@ def test_edges(spark):
     assert [tuple(r) for r in repeats.repeated_spans(same).collect()] == [(7, 0, 60, 7)]
     with pytest.raises(ValueError):
         repeats.repeated_spans(same, min_words=5, gram=6)
+
+
+def test_a_phrase_in_many_surroundings_and_very_long_texts(spark, monkeypatch):
+    # every document has one phrase that gives all windows about it their minimizer
+    monkeypatch.setattr(repeats, "small", lambda df, *_: df)
+    r = random.Random(6)
+    phrase = [f"p{k}" for k in range(14)]
+    words = lambda n: [f"w{r.randrange(40)}" for _ in range(n)]
+    rows = []
+    for i in range(120):
+        left, right = r.choice([words(15), ["l"] * 15]), r.choice([words(15), ["r"] * 15])
+        rows.append((i, " ".join(left + phrase + right)))
+    long = [f"x{k}" for k in range(70000)]
+    rows += [(500, " ".join(long)), (501, " ".join(words(100) + long[20000:60000]))]
+    got = repeats.repeated_spans(spark.createDataFrame(rows, SCHEMA), min_words=20, gram=6, shard_words=400).collect()
+    assert {(x.doc_id, w) for x in got for w in range(x.start_word, x.end_word)} == {(i, w) for i, _, w in brute(rows, 20)}
