@@ -1,7 +1,9 @@
 import random
+import time
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -21,53 +23,75 @@ def test_matching_statistics_are_the_longest_suffixes(sequences, text):
         assert n == max((m for m in range(k + 2) if not m or text[k + 1 - m : k + 1] in runs), default=0)
 
 
-def brute_matches(doc, templates, least):
-    """(first word, template, first template word, words) of matches that can't be made longer to either side."""
+def brute_matches(doc, words, least):
+    """(first word, first template word, words) of the equal runs that can't be made longer to either side."""
     out = set()
-    for t, words in enumerate(templates):
-        for i in range(len(doc)):
-            for j in range(len(words)):
-                n = 0
-                while i + n < len(doc) and j + n < len(words) and doc[i + n] == words[j + n]:
-                    n += 1
-                if n >= least:
-                    out.add((i, t, j, n))
-    longest = {}
-    for i, t, j, n in out:
-        longest[i + n] = max(longest.get(i + n, 0), n)
-    ends = {e: n for e, n in longest.items()}
-    # a place's match counts if the next place's isn't its continuation
-    full = {}
-    for i in range(len(doc) + 1):
-        best = 0
-        for words in templates:
-            for j in range(len(words) + 1):
-                n = 0
-                while n < min(i, j) and doc[i - 1 - n] == words[j - 1 - n]:
-                    n += 1
-                best = max(best, n)
-        full[i] = best
-    keep = {e: n for e, n in full.items() if n >= least and full.get(e + 1, 0) <= n and e in range(len(doc) + 1)}
-    assert set(keep) <= set(ends)
-    got = set()
-    for e, n in keep.items():
-        for t, words in enumerate(templates):
-            for j in range(len(words) - n + 1):
-                if words[j : j + n] == doc[e - n : e]:
-                    got.add((e - n, t, j, n))
-    return got
+    for i in range(len(doc)):
+        for j in range(len(words)):
+            if i and j and doc[i - 1] == words[j - 1]:
+                continue
+            n = 0
+            while i + n < len(doc) and j + n < len(words) and doc[i + n] == words[j + n]:
+                n += 1
+            if n >= least:
+                out.add((i, j, n))
+    return out
 
 
 def test_streamed_matches_against_brute_force():
     r = random.Random(4)
-    vocab = [f"w{k}" for k in range(5)]
-    for _ in range(60):
-        templates = [r.choices(vocab, k=r.randrange(3, 15)) for _ in range(3)]
-        doc = r.choices([*vocab, "other"], k=40)
-        t = licenses.Templates([(str(i), " ".join(x)) for i, x in enumerate(templates)], 3)
-        h = split_words(pa.array([" ".join(doc)])).hashes()
-        got = {(i, p, e - n + 1, n) for i, n, s in t.matches(h) for p, e in t.ends[s]}
-        assert got == brute_matches(doc, templates, 3)
+    for size in (3, 5, 12):
+        vocab = [f"w{k}" for k in range(size)]
+        for _ in range(60):
+            templates = [r.choices(vocab, k=r.randrange(3, 15)) for _ in range(4)]
+            templates.append(templates[0][1:5] + templates[1])
+            doc = r.choices([*vocab, "other"], k=40) + templates[1] + r.choices(vocab, k=3)
+            t = licenses.Templates([(str(i), " ".join(x)) for i, x in enumerate(templates)], 3)
+            got = t.matches(split_words(pa.array([" ".join(doc)])).hashes())
+            for k, x in enumerate(templates):
+                assert sorted(got.get(k, [])) == sorted(brute_matches(doc, x, 3))
+
+
+def all_chains(matches, max_gap):
+    """(start, end, covered) of every chain."""
+    out = []
+
+    def go_on(last, start, covered):
+        d, t, n = last
+        out.append((start, d + n, covered))
+        for m in matches:
+            if m[0] > d and m[1] > t and m[0] + m[2] > d + n and m[1] + m[2] > t + n and m[0] - d - n <= max_gap and m[1] - t - n <= max_gap:
+                go_on(m, start, covered + m[2] - max(0, d + n - m[0], t + n - m[1]))
+
+    for m in matches:
+        go_on(m, m[0], m[2])
+    return out
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 30), st.integers(0, 12), st.integers(3, 6)), max_size=9, unique=True), st.integers(0, 6))
+def test_chains_against_brute_force(matches, max_gap):
+    every = all_chains(matches, max_gap)
+    taken = []
+    for start, end, covered in licenses.chains(matches, max_gap):
+        free = [c for c in every if all(c[1] <= a or c[0] >= b for a, b in taken)]
+        best = max(c[2] for c in free)
+        assert covered == best and (start, end, covered) in free
+        taken.append((start, end))
+    assert all(any(m[0] < b and m[0] + m[2] > a for a, b in taken) for m in matches)
+
+
+def test_chaining_stays_near_linear():
+    def took(n):
+        phrase = "released under the mit license here".split()
+        h = split_words(pa.array([" ".join(phrase * n)])).hashes()
+        t = licenses.Templates([("MIT", " ".join(phrase[:5])), ("MIT", licenses.TEMPLATES[1][1])])
+        began = time.process_time()
+        assert len(licenses.best_spans(licenses.spans(h, t, 0.6, 12))) == n
+        return time.process_time() - began
+
+    took(100)
+    assert took(4000) < 16 * took(500) + 0.5
 
 
 def found(df):
@@ -101,22 +125,47 @@ def test_every_template_is_found_once_and_whole(spark):
     got = found(licenses.license_spans(spark.createDataFrame(rows, "doc_id long, text string")))
     want = [(k, name, 4, 4 + len(t.split()), 1.0) for k, (name, t) in enumerate(licenses.TEMPLATES)]
     assert got == want
-    for _, t in licenses.TEMPLATES:  # none is a text twice over
+    names = {}
+    for name, t in licenses.TEMPLATES:  # none is a text twice over, none has two names
         w = t.split()
         assert w[: len(w) // 2] != w[len(w) // 2 :]
+        assert names.setdefault(t, name) == name
+
+
+GNU = """This {0} is free software: you can redistribute it and/or modify it under the terms of the GNU {1} General Public
+License as published by the Free Software Foundation, either version {2} of the License, or (at your option) any later version.
+
+This {0} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY"""
 
 
 def test_standard_notices(spark):
-    rows = [
-        (1, "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
-        (2, "To the extent possible under law, the author has waived all copyright and related rights to this work."),
-    ]
-    got = found(licenses.license_spans(spark.createDataFrame(rows, "doc_id long, text string")))
-    assert got == [(1, "CC-BY-NC-4.0", 0, 14, 1.0), (2, "CC0-1.0", 0, 18, 1.0)]
+    cases = [
+        ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
+        ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related rights to this work."),
+        ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+        ("CC-BY-ND-3.0", "This work is licensed under a Creative Commons Attribution-NoDerivs 3.0 Unported License."),
+        ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
+        ("CC-BY-NC-SA-4.0", "licensed under CC BY-NC-SA 4.0"),
+        ("GPL-3.0", GNU.format("program", "", 3)), ("AGPL-3.0", GNU.format("program", "Affero", 3)), ("GPL-2.0", GNU.format("program", "", 2)),
+        ("LGPL-3.0", GNU.format("library", "Lesser", 3)), ("LGPL-2.1", GNU.format("library", "Lesser", 2.1)), ("LGPL-3.0", GNU.format("program", "Lesser", 3)),
+        # a short notice that goes on as a longer template does, but not to its end
+        ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"). See the file.'),
+    ]
+    df = spark.createDataFrame([(k, t) for k, (_, t) in enumerate(cases)], "doc_id long, text string")
+    assert [(x[0], x[1], x[4]) for x in found(licenses.license_spans(df))] == [(k, name, 1.0) for k, (name, _) in enumerate(cases)]
+
+
+def test_what_is_added_costs_coverage(spark):
+    rows = [(1, "This work is licensed under a Creative Commons Attribution-Frobnicate 4.0 International License.")]
+    (got,) = licenses.license_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert got.license == "CC-BY-4.0" and got.coverage < 0.95
+    with pytest.raises(ValueError):
+        licenses.license_spans(spark.createDataFrame(rows, "doc_id long, text string"), templates=[("X", "one two")])
 
 
 def test_chains_skip_gaps_but_not_too_long_ones():
     assert licenses.chains([(0, 0, 5), (7, 6, 5)], 3) == [(0, 12, 10)]
     assert licenses.chains([(0, 0, 5), (50, 6, 5)], 3) == [(0, 5, 5), (50, 55, 5)]
     assert licenses.chains([(0, 0, 5), (4, 4, 5)], 3) == [(0, 9, 9)]
+    assert licenses.chains([(0, 0, 5), (5, 20, 9), (14, 6, 5)], 20) == [(0, 14, 14), (14, 19, 5)]
     assert np.array(licenses.chains([], 3)).size == 0
