@@ -11,31 +11,59 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from lexmill.llm import decontam, exact, neardup, packing, quality
-from lexmill.llm.runtime import checkpoint_dir
+from lexmill.llm.runtime import checkpoint_dir, cut, remove
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the factorisation machine accepts."""
+    """Documents that the factorisation machine, fitted on ``labels``, accepts.
+
+    Null and empty texts are scored by their metadata and structure alone, null metadata are
+    a value of their own, very long texts are scored whole; equal rows, repeated ones among
+    them, stay or go together.  Without usable labels all stay; an empty table stays one.
+    All columns stay, whatever further ones are called.
+    """
     return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each text."""
+    """One document of each text: the one of the least id, of equal ids the first in the scan.
+
+    Rows with a null text all stay, of empty texts and of repeated rows one does; a null id
+    comes after all others; texts of any length are compared whole.  An empty table stays
+    one.  All columns stay, whatever further ones are called.
+    """
     return exact.drop_exact_duplicates(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates."""
+    """One document of each group of near duplicates: the one of the least id, of equal ids the first in the scan.
+
+    Null, empty and wordless texts all stay, as they have no shingles; of repeated rows one
+    does; a null id comes after all others; very long texts are compared whole.  An empty
+    table stays one.  All columns stay, whatever further ones are called.
+    """
     return neardup.drop_near_duplicates(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no item of ``benchmark``.
+
+    Null, empty and wordless texts stay, repeated rows stay or go together, very long texts
+    are searched whole; null or wordless items are in no document, and of several items in
+    one document each is enough.  Without documents or items nothing goes.  All columns
+    stay, whatever further ones are called.
+    """
     return decontam.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Where each piece of each document goes."""
+    """(doc_id, piece, start, length, bin_id): where each piece of each document goes.
+
+    Null and empty texts have no piece, very long ones are cut into full pieces and a
+    remainder; each repeated row is packed, a null id is kept, and a hash of the ids decides
+    between documents of one length.  An empty table gives no rows; further columns
+    aren't read, whatever they are called.
+    """
     return packing.pack(docs)
 
 
@@ -52,18 +80,22 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows of the last stage over ``documents``; tables between stages go to the shared folder."""
+    """The rows of the last stage over ``documents``.
+
+    Tables between stages go to the shared folder and are deleted once they have been read;
+    the stages say what they do with nulls, empty and very long texts, ties, repeated rows,
+    empty tables and further columns.
+    """
     folder = f"{checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
     for k, (_, stage) in enumerate(STAGES[:-1]):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
         docs = spark.read.parquet(f"{folder}/{k}")
         if k:
-            done = path(f"{folder}/{k - 1}")
-            done.getFileSystem(conf).delete(done, True)
-    return STAGES[-1][1](spark, docs, sf_dir)
+            remove(spark, f"{folder}/{k - 1}")
+    packed = cut(STAGES[-1][1](spark, docs, sf_dir))
+    remove(spark, folder)
+    return packed
 
 
 def queries() -> dict:

@@ -87,8 +87,9 @@ def exact_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id"
     Of equal texts the one with the least id stays (of equal ids the first in the
     scan, a null id only if all are null); each other row gives one result row.
     Texts are compared byte by byte; empty texts equal one another, a null text
-    equals nothing.  Repeated rows are duplicates of the first.  Other columns,
-    whatever their names, are not looked at.  No rows for an empty table.
+    equals nothing; texts of any length are compared to their ends.  Repeated rows are
+    duplicates of the first.  Other columns, whatever their names, are not looked at.  No
+    rows for an empty table.  The rounds are jobs that run before this returns.
     """
     rows, row = _numbered(docs.select(doc_id, text), doc_id)
     groups = equal_groups(rows, row, text, **digits)
@@ -102,8 +103,9 @@ def exact_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id"
 def drop_exact_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **digits) -> DataFrame:
     """``docs`` without the rows that ``exact_duplicates`` names; all columns stay.
 
-    Rows with a null text all stay.  ``docs`` must give its rows in the same order
-    each time it is computed (a file scan does).
+    Rows with a null text all stay, an empty table stays one, and further columns may have
+    any names.  ``docs`` must give its rows in the same order each time it is computed (a
+    file scan does).
     """
     rows, row = _numbered(docs, doc_id)
     groups = equal_groups(rows, row, text, **digits)

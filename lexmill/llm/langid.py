@@ -363,7 +363,8 @@ def language_spans(
     empty and wordless texts have no language, no words and no spans, as have all if
     there is nothing to train on.  Chances have six digits, so equal texts get equal results, repeated rows are
     labelled each, of equal chances the language first in order is taken.  An empty
-    table gives no rows; columns that aren't named are not read.
+    table gives no rows; texts of any length are labelled whole; columns that aren't named
+    are not read, so theirs may have any names.
     """
     field = field or train(docs, text, doc_id, lang, **training)
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))

@@ -427,8 +427,9 @@ def near_duplicates(
     connected components, and the least id of a group stays (a null id last, of
     equal ids the first in the scan).  A document of fewer than n words counts as
     one shingle of all its words; null, empty and wordless texts are in no group.
-    Repeated rows are near duplicates of each other.  Other columns are not read, and an
-    empty table gives no rows.  ``docs`` must give its rows in the same order each
+    Repeated rows are near duplicates of each other; texts of any length are read whole.
+    Other columns are not read, so theirs may have any names, and an empty table gives no
+    rows.  Several jobs run before it returns.  ``docs`` must give its rows in the same order each
     time it is computed (a file scan does).
     """
     rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"), F.monotonically_increasing_id().alias("row"))
@@ -451,7 +452,11 @@ def _kept(rows: DataFrame, groups: DataFrame) -> DataFrame:
 def drop_near_duplicates(
     docs: DataFrame, text: str = "text", doc_id: str = "doc_id", n: int = N, threshold: float = THRESHOLD
 ) -> DataFrame:
-    """``docs`` without the rows that ``near_duplicates`` names; all columns stay."""
+    """``docs`` without the rows that ``near_duplicates`` names; all columns stay.
+
+    Null, empty and wordless texts stay, and so does one of each group, ties and repeated
+    rows included; an empty table stays one, and further columns may have any names.
+    """
     row = free_name(docs, "row")
     numbered = docs.withColumn(row, F.monotonically_increasing_id())
     rows = numbered.select(F.col(doc_id).alias("id"), F.col(text).alias("text"), F.col(row).alias("row"))

@@ -284,7 +284,7 @@ def quality_scores(
     ``keep`` says that the score, the chance that the document is good, reaches
     ``keep_at``.  Null and empty texts are scored by their fields alone, null
     metadata are a value of their own, equal rows get equal scores, a repeated row
-    is scored each time.  Without usable labels every score is 1.  An empty table
+    is scored each time, a text of any length whole.  Without usable labels every score is 1.  An empty table
     gives no rows; columns that aren't named are not read.
     """
     machine = train(docs, labels, text, doc_id, meta, **training)
@@ -297,6 +297,10 @@ def keep_good(
     docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", meta: tuple[str, ...] = ("lang", "source"),
     keep_at: float = KEEP_AT, **training,
 ) -> DataFrame:
-    """The rows of ``docs`` whose ``quality_scores`` say keep, with all their columns."""
+    """The rows of ``docs`` whose ``quality_scores`` say keep, with all their columns.
+
+    Nulls, empty and long texts, ties, repeated rows and empty tables are as there; further
+    columns stay, whatever their names.
+    """
     machine = train(docs, labels, text, doc_id, meta, **training)
     return docs.filter(score_column(machine, docs.sparkSession, F.col(text), *[F.col(c) for c in meta]) >= keep_at)
