@@ -127,10 +127,14 @@ def bloom_merge(a: BloomFilter, b: BloomFilter) -> BloomFilter:
     return BloomFilter(a.params, cut(words), a.count + b.count)
 
 
+def bloom_lacks(df: DataFrame, col: str, f: BloomFilter) -> DataFrame:
+    """(col): the distinct values of ``col``, as strings, that the filter doesn't seem to have."""
+    return bloom_has(_keys(df, col).withColumnRenamed("key", col), col, f, keep=False)
+
+
 def bloom_add(f: BloomFilter, df: DataFrame, col: str) -> BloomFilter:
     """``f`` with the values of ``col``; ``count`` grows by the distinct ones that it didn't seem to have."""
-    keys = df.select(F.col(col).cast("string").alias("key")).filter("key IS NOT NULL").distinct()
-    new = bloom_build(bloom_has(keys, "key", f, keep=False), "key", f.params)
+    new = bloom_build(bloom_lacks(df, col, f), col, f.params)
     return replace(bloom_merge(f, new), count=f.count + new.count)
 
 

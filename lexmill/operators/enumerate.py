@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import cut, numbered
+from ..runtime import BROADCAST_BYTES, cut, free_name, numbered
+
+#: A term of so large a share of all rows is looked up without a shuffle.
+SHARE = 1e-4
 
 
 def new_state(spark) -> DataFrame:
@@ -13,8 +16,8 @@ def new_state(spark) -> DataFrame:
     return spark.createDataFrame([], "term string, id bigint")
 
 
-def extend_state(df: DataFrame, order: list[str], term: str = "term", state: DataFrame | None = None) -> DataFrame:
-    """The dictionary (term, id) after all of ``df``: known terms keep their ids, new ones follow the greatest.
+def new_entries(df: DataFrame, order: list[str], term: str = "term", state: DataFrame | None = None) -> DataFrame:
+    """(term, id) of the terms of ``df`` that aren't in the dictionary; their ids follow its greatest.
 
     Null terms get no id.  One shuffle finds where terms first appear; numbering is by
     ranges, so no task sees the whole dictionary.
@@ -26,17 +29,43 @@ def extend_state(df: DataFrame, order: list[str], term: str = "term", state: Dat
     if state is not None:
         start = (state.agg(F.max("id")).first()[0] or 0) + 1
         first = first.join(state.select("term"), "term", "left_anti")
-    added = numbered(first, ["first", "term"], "id", start).select("term", "id")
+    return numbered(first, ["first", "term"], "id", start).select("term", "id")
+
+
+def extend_state(df: DataFrame, order: list[str], term: str = "term", state: DataFrame | None = None) -> DataFrame:
+    """The dictionary (term, id) after all of ``df``: known terms keep their ids, new ones follow the greatest."""
+    added = new_entries(df, order, term, state)
     return added if state is None else state.select("term", "id").unionByName(added)
 
 
 def look_up(df: DataFrame, state: DataFrame, term: str = "term", missing: int | None = 0) -> DataFrame:
-    """``df`` with the ids of its terms; unknown terms get ``missing``."""
+    """``df`` with the ids of its terms; unknown terms get ``missing``.
+
+    A dictionary that is checked to be small is broadcast, and rows stay where they are.
+    For a larger one the frequent terms, which would fill a task each, get their ids from a
+    broadcast table of their own, and only the others are shuffled.
+    """
     known = state.select(F.col("term").alias(term), "id")
-    got = df.drop("id").join(known, term, "left")
+    rows = df.drop("id")
+    size = known.agg(F.coalesce(F.sum(F.octet_length(term) + 24), F.lit(0))).first()[0]
+    if size <= BROADCAST_BYTES:
+        got = rows.join(F.broadcast(known), term, "left")
+    else:
+        frequent = F.broadcast(_frequent(rows, known, term))
+        often = free_name(rows, "often")
+        marked = rows.join(frequent.withColumnRenamed("id", often), term, "left")
+        rest = marked.filter(F.col(often).isNull()).drop(often).join(known, term, "left")
+        got = marked.filter(F.col(often).isNotNull()).withColumnRenamed(often, "id").unionByName(rest)
     return got if missing is None else got.withColumn("id", F.coalesce("id", F.lit(missing).cast("bigint")))
 
 
+def _frequent(rows: DataFrame, known: DataFrame, term: str) -> DataFrame:
+    """(term, id) of known terms with a share of SHARE of all rows: 1 / SHARE at most."""
+    counts = cut(rows.groupBy(term).agg(F.count("*").alias("n")))
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    return counts.filter(F.col("n") >= max(total * SHARE, 1)).select(term).join(known, term)
+
+
 def enumerate_terms(
     df: DataFrame, order: list[str], term: str = "term", state: DataFrame | None = None, extend: bool = True
 ) -> tuple[DataFrame, DataFrame]:

@@ -2,22 +2,21 @@
 
 Every pattern is counted for itself: each place where it stands with the boundaries
 it asks for, overlaps included.  A few patterns become regular expressions inside
-the JVM; many become one automaton that goes through the text once, in Arrow batches.
+the JVM.  Of many, those that are one whole word are joined to the words of the text, also
+in the JVM; the others become one automaton that goes through the text once, in Arrow
+batches.
 """
 
 from __future__ import annotations
 
+import ahocorasick
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..runtime import checked_broadcast
 from ..sources.patterns import Pattern
 
-try:
-    import ahocorasick
-except ModuleNotFoundError:  # then expressions do it all
-    ahocorasick = None
-
 #: Patterns that become expressions; more go to the automaton.
 EXPRESSIONS = 50
 
@@ -39,8 +38,6 @@ class Matcher:
     """Counts all patterns of a text in one pass: compile once, then ``count`` texts."""
 
     def __init__(self, patterns: list[Pattern], non_ascii_wordsep: bool = False, mode: str = "independent"):
-        if ahocorasick is None:
-            raise ModuleNotFoundError("pyahocorasick is needed for many patterns")
         self.mode, self.patterns = mode, patterns
         self.wide = non_ascii_wordsep
         self.exact, self.folded = self._automaton(False), self._automaton(True)
@@ -115,29 +112,66 @@ def _by_automaton(text: Column, patterns: list[Pattern], wide: bool, mode: str)
     return F.arrow_udf(count, _HITS)(text)
 
 
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_SPLIT = r"[\x00-\x22'()\-,.:;?`]+"
+_SPLIT_WIDE = r"[\x00-\x22'()\-,.:;?`\x{80}-\x{10ffff}]+"
+
+
+def is_word(p: Pattern, non_ascii_wordsep: bool) -> bool:
+    """Is it one whole word, without separators inside?"""
+    return not (p.left or p.right) and not any(ord(c) in _SEPARATORS or (non_ascii_wordsep and ord(c) >= 0x80) for c in p.pattern)
+
+
+def _by_words(docs: DataFrame, text: str, doc_id: str, patterns: list[Pattern], wide: bool) -> DataFrame:
+    """(doc_id, idx, n) of whole words: the words of a text meet the patterns in a hash join, and a row's hits are summed."""
+    folded = any(p.ci for p in patterns)
+    table = docs.sparkSession.createDataFrame(
+        [(p.pattern.translate(str.maketrans(_UPPER, _LOWER)) if p.ci else p.pattern, p.ci, p.idx) for p in patterns], "word string, ci boolean, idx int"
+    )
+    size = sum(len(p.pattern) * 4 + 24 for p in patterns)
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.monotonically_increasing_id().alias("row"))
+    each = rows.select("doc_id", "row", F.explode(F.split("text", _SPLIT_WIDE if wide else _SPLIT, -1)).alias("word")).filter("word <> ''")
+    forms = each.withColumn("ci", F.lit(False))
+    if folded:
+        forms = forms.unionByName(each.withColumns({"word": F.translate("word", _UPPER, _LOWER), "ci": F.lit(True)}))
+    hits = forms.join(checked_broadcast(table, size), ["word", "ci"])
+    return hits.groupBy("row", "doc_id", "idx").agg(F.count("*").alias("n")).select("doc_id", "idx", "n")
+
+
 def match_counts(
     docs: DataFrame, patterns: list[Pattern], text: str = "text", doc_id: str = "doc_id", non_ascii_wordsep: bool = False,
-    mode: str = "independent", expressions: int = EXPRESSIONS,
+    mode: str = "independent", expressions: int = EXPRESSIONS, words: bool = True,
 ) -> DataFrame:
     """(doc_id, idx, pattern, yield, n) of the patterns that stand in each document.
 
     Separators are control characters, blank, ``! " ' ( ) , - . : ; ?`` and the back
-    quote, with ``non_ascii_wordsep`` also everything beyond ASCII.  Row-local: nothing
-    is shuffled.  Null and empty texts have no hits.
+    quote, with ``non_ascii_wordsep`` also everything beyond ASCII.  Up to ``expressions``
+    patterns are row-local, as is the automaton; of more, whole words are joined to the
+    words of the texts unless ``words`` is off, and only their hits are shuffled.  Null and
+    empty texts have no hits.
     """
     if mode not in ("independent", "scan"):
         raise ValueError("mode is 'independent' or 'scan'")
-    few = mode == "independent" and (len(patterns) <= expressions or ahocorasick is None)
-    hits = _by_expressions(F.col(text), patterns, non_ascii_wordsep) if few else _by_automaton(F.col(text), patterns, non_ascii_wordsep, mode)
+    few = mode == "independent" and len(patterns) <= expressions
     by = {p.idx: p for p in patterns}
-    names = F.create_map(*[x for k, p in by.items() for x in (F.lit(k), F.lit(p.pattern))]) if few else None
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.explode(hits).alias("h")).select("doc_id", "h.idx", "h.n")
+
+    def found(hits: Column) -> DataFrame:
+        return docs.select(F.col(doc_id).alias("doc_id"), F.explode(hits).alias("h")).select("doc_id", "h.idx", "h.n")
+
     if few:
+        rows = found(_by_expressions(F.col(text), patterns, non_ascii_wordsep))
+        names = F.create_map(*[x for k, p in by.items() for x in (F.lit(k), F.lit(p.pattern))])
         labels = F.create_map(*[x for k, p in by.items() for x in (F.lit(k), F.lit(p.label).cast("string"))])
         return rows.select("doc_id", "idx", F.element_at(names, F.col("idx")).alias("pattern"), F.element_at(labels, F.col("idx")).alias("yield"), "n")
+    whole = [p for p in patterns if is_word(p, non_ascii_wordsep)] if words and mode == "independent" else []
+    others = [p for p in patterns if p not in whole] if len(whole) < len(patterns) else []
+    rows = _by_words(docs, text, doc_id, whole, non_ascii_wordsep) if whole else None
+    if others or rows is None:
+        scanned = found(_by_automaton(F.col(text), others or patterns, non_ascii_wordsep, mode))
+        rows = scanned if rows is None else rows.unionByName(scanned)
     table = docs.sparkSession.createDataFrame([(k, p.pattern, p.label) for k, p in by.items()], "idx int, pattern string, yield string")
-    # the driver holds the patterns, so they fit a broadcast
-    return rows.join(F.broadcast(table), "idx").select("doc_id", "idx", "pattern", "yield", "n")
+    size = sum(len(p.pattern) * 4 + len(p.label or "") * 4 + 32 for p in patterns)
+    return rows.join(checked_broadcast(table, size), "idx").select("doc_id", "idx", "pattern", "yield", "n")
 
 
 def match_report(

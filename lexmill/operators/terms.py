@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.tokens import fast_tokens, ngram_array, tokens
-from ..runtime import free_name
+from ..runtime import free_name, numbered
 
 
 def _rows(df: DataFrame, array, name: str) -> DataFrame:
@@ -48,3 +48,14 @@ def tf_ratio(tf: DataFrame, corpus: DataFrame, digits: int = 6) -> DataFrame:
     """(term, ratio) of the terms that both (term, n) tables have: n here by n there."""
     c = corpus.select("term", F.col("n").alias("corpus_n"))
     return tf.join(c, "term").select("term", F.round(F.col("n") / F.col("corpus_n"), digits).alias("ratio"))
+
+
+def in_order(rows: DataFrame, *order: str, descending: bool = False) -> DataFrame:
+    """``rows`` sorted by the columns ``order``, with their ``place`` from 1; strings by their bytes, nulls first.
+
+    ``descending`` turns the first column, a number, alone; ties are in the order of the
+    others.  Sorted by ranges: no task sees all rows, and partitions follow each other.
+    """
+    key = free_name(rows, "key")
+    keyed = rows.withColumn(key, -F.col(order[0]) if descending else F.col(order[0]))
+    return numbered(keyed, [key, *order[1:]], "place").drop(key)

@@ -9,7 +9,7 @@ from ..operators import bloom, match, pairs, terms
 from ..sources import text as source
 from ..sources.patterns import Pattern, parse_patterns, patterns_df
 from ..streaming import state as streams
-from .text import _rows, docs, items, table
+from .text import _FAST, _LINES, _rows, docs, items, table
 
 PATTERNS = r'''
 # function words of four languages and some word parts
@@ -100,11 +100,55 @@ def p1_patterns(spark, d):
     return patterns_df(spark, parse_patterns(PATTERNS))
 
 
+#: A word twice, a label without quotes, several words and labels, a line that goes on, escapes.
+ODD = r'''"foo"i -> "a"
+"*bar" -> unquoted
+"one" "two" -> "x" -> "y"
+"a\"b*" \
+ -> "z"
+"foo" -> "b"
+"*mid*"i
+"star\*"'''
+
+
+def p9_patterns_odd(spark, d):
+    return patterns_df(spark, parse_patterns(ODD))
+
+
 _COUNTS = _sql_counts(parse_patterns(PATTERNS))
 _REPORT = f"""SELECT doc_id, coalesce(yield, pattern) AS label, CAST(sum(n) AS BIGINT) AS n, CAST(min(idx) AS INTEGER) AS first_idx
 FROM ({_COUNTS}) AS c GROUP BY doc_id, yield IS NOT NULL, coalesce(yield, pattern)"""
 
 
+# hits of each pattern by their places, then along each text the first that begins where the last one ended or later
+_SCAN = f"""
+WITH RECURSIVE p(idx, pattern, body, yield, ci, l, r) AS (VALUES {", ".join(
+    f"({p.idx}, '{p.pattern}', '{p.pattern.lower() if p.ci else p.pattern}', {repr(p.label) if p.label else 'NULL'}, {p.ci}, {p.left}, {p.right})"
+    for p in parse_patterns(PATTERNS))}),
+t AS (SELECT doc_id, idx, body, yield, p.pattern, l, r, CASE WHEN ci THEN lower(text) ELSE text END AS text FROM documents, p),
+parts AS (SELECT *, string_split(text, body) AS s FROM t WHERE contains(text, body)),
+places AS (
+  SELECT doc_id, idx, pattern, yield, l, r, text, length(body) AS n, unnest(range(1, len(s))) AS k, unnest(list_transform(range(1, len(s)),
+    lambda k: list_sum(list_transform(list_slice(s, 1, k), lambda x: length(x))) + (k - 1) * length(body) + 1)) AS start FROM parts
+),
+hits AS (
+  SELECT doc_id, idx, pattern, yield, start, n FROM places WHERE (l OR start = 1 OR regexp_matches(substr(text, CAST(start - 1 AS BIGINT), 1), '{_S}'))
+  AND (r OR start + n > length(text) OR regexp_matches(substr(text, CAST(start + n AS BIGINT), 1), '{_S}'))
+),
+long AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY start, idx DESC) AS k FROM hits WHERE n > 2),
+walk AS (
+  SELECT doc_id, CAST(0 AS BIGINT) AS k, CAST(0 AS BIGINT) AS free, -1 AS idx FROM (SELECT DISTINCT doc_id FROM long) AS d
+  UNION ALL
+  SELECT w.doc_id, x.k, CASE WHEN x.start >= w.free THEN CAST(x.start + x.n AS BIGINT) ELSE w.free END, CASE WHEN x.start >= w.free THEN x.idx ELSE -1 END
+  FROM walk AS w JOIN long AS x ON x.doc_id = w.doc_id AND x.k = w.k + 1
+),
+counted AS (
+  SELECT doc_id, idx, count(*) AS n FROM walk WHERE idx >= 0 GROUP BY doc_id, idx
+  UNION ALL SELECT doc_id, idx, count(*) FROM hits WHERE n <= 2 GROUP BY doc_id, idx
+)
+SELECT doc_id, counted.idx, pattern, yield, n FROM counted JOIN p ON p.idx = counted.idx"""
+
+
 _P, _K = 1e-9, 30
 
 
@@ -124,6 +168,14 @@ def a10_bloom_hit_rate(spark, d):
     return bloom.bloom_hit_rate(terms.terms(items(spark, d)), "term", _dictionary(spark, d)).withColumn("pct", F.round("pct", 9))
 
 
+def k4_render_hits(spark, d):
+    return source.render_hits(bloom.bloom_hit_rate(terms.terms(items(spark, d)), "term", _dictionary(spark, d)))
+
+
+def o4_ordered_report(spark, d):
+    return terms.in_order(a2_label_rollup(spark, d), "doc_id", "first_idx", "label").select("place", "doc_id", "label", "n")
+
+
 def a11_bloom_info(spark, d):
     return bloom.bloom_info(_dictionary(spark, d)).select("k", "count")
 
@@ -135,6 +187,19 @@ def a6_bloom_merge(spark, d):
     return bloom.bloom_info(both).select("k", "count")
 
 
+def st1_stream_match(spark, d):
+    return streams.streamed(spark, f"{d}/documents.parquet", lambda df: match.match_counts(df.select("doc_id", "text"), parse_patterns(PATTERNS)))
+
+
+def st1_stream_fast_terms(spark, d):
+    return streams.streamed(spark, f"{d}/documents.parquet", lambda df: terms.fast_terms(df.select("doc_id", "text")))
+
+
+def st1_stream_qgram(spark, d):
+    score = F.round(qgram_score("p_name", "p_type").cast("double"), 5).alias("score")
+    return streams.streamed(spark, f"{d}/part.parquet", lambda df: df.select("p_partkey", score))
+
+
 def j1_distance_regions(spark, d):
     n, r = table(spark, d, "nation").select("n_name"), table(spark, d, "region").select("r_name")
     return pairs.distance_matrix(n, r, "n_name", "r_name")
@@ -172,15 +237,37 @@ def j3_infix_names(spark, d):
 _CODES = "list_transform(string_split(upper({c}), ''), lambda x: CASE WHEN x = ' ' THEN 28 ELSE ascii(x) - 64 END)"
 _HASHES = "list_transform(range(1, len({c}) - 3), lambda i: xor(xor(xor(xor({c}[i] << 12, {c}[i + 1] << 9), {c}[i + 2] << 6), {c}[i + 3] << 3), {c}[i + 4]))"
 
+_QGRAM = f"""WITH c AS (SELECT p_partkey, {_CODES.format(c='p_name')} AS a, {_CODES.format(c='p_type')} AS b FROM part),
+        h AS (SELECT p_partkey, {_HASHES.format(c='a')} AS x, {_HASHES.format(c='b')} AS y, least(len(a), len(b)) - 4 AS m FROM c)
+        SELECT p_partkey, round(CAST(CAST(len(list_filter(y, lambda g: list_contains(x, g))) AS FLOAT) / CAST(m AS FLOAT) AS DOUBLE), 5) AS score FROM h"""
+
 QUERIES = {
+    # written out by hand
     "p1_patterns": (
         p1_patterns,
-        "SELECT * FROM (VALUES "
-        + ", ".join(
-            f"(CAST({p.idx} AS INTEGER), '{p.pattern}', {p.ci}, {p.left}, {p.right}, {repr(p.label) if p.label else 'CAST(NULL AS VARCHAR)'})"
-            for p in parse_patterns(PATTERNS)
-        )
-        + ") AS v(idx, pattern, ci, \"left\", \"right\", yield)",
+        """SELECT CAST(idx AS INTEGER) AS idx, pattern, ci, "left", "right", yield FROM (VALUES
+        (0, 'the', true, false, false, 'en'), (1, 'and', false, false, false, 'en'), (2, 'le', true, false, false, 'fr'),
+        (3, 'la', false, false, false, 'fr,es'), (4, 'und', true, false, false, 'de'), (5, 'der', false, false, false, 'de'),
+        (6, 'los', false, false, false, 'es'), (7, 'tion', false, false, true, 'part'), (8, 'ment', true, true, false, 'part'),
+        (9, 'heit', false, true, true, NULL), (10, 'of', false, false, false, NULL)
+        ) AS v(idx, pattern, ci, "left", "right", yield)""",
+    ),
+    "p9_patterns_odd": (
+        p9_patterns_odd,
+        """SELECT CAST(idx AS INTEGER) AS idx, pattern, ci, "left", "right", yield FROM (VALUES
+        (0, 'foo', false, false, false, 'b'), (1, 'bar', false, true, false, NULL), (2, 'two', false, false, false, 'y'),
+        (3, 'a"b', false, false, true, 'z'), (4, 'mid', true, true, true, NULL), (5, 'star*', false, false, false, NULL)
+        ) AS v(idx, pattern, ci, "left", "right", yield)""",
+    ),
+    "k4_render_hits": (
+        k4_render_hits,
+        f"""SELECT 'hits' || chr(9) || '<stdin>' || chr(9) || count(*) FILTER (hit) || '/' || count(*) || chr(9)
+        || format('{{:.2f}}', 100.0 * count(*) FILTER (hit) / CAST(count(*) AS DOUBLE)) || '%' AS value FROM
+        (SELECT term IN (SELECT term FROM ({_rows()}) AS r) AS hit FROM ({_rows('benchmark', 'item_id')}) AS b) AS x""",
+    ),
+    "o4_ordered_report": (
+        o4_ordered_report,
+        f"""SELECT row_number() OVER (ORDER BY doc_id, first_idx, label) AS place, doc_id, label, n FROM ({_REPORT}) AS r""",
     ),
     "f1_match_counts": (f1_match_counts, _COUNTS),
     "f1_match_automaton": (f1_match_automaton, _COUNTS),
@@ -200,7 +287,7 @@ QUERIES = {
         """SELECT doc_id, pattern, n FROM (SELECT doc_id, pattern, len(list_filter(range(1, length(text)), lambda i: substr(text, i, 2) = pattern)) AS n
         FROM documents, (VALUES ('éé'), ('nn')) AS p(pattern)) AS x WHERE n > 0""",
     ),
-    "f8_match_scan": (f8_match_scan, None),
+    "f8_match_scan": (f8_match_scan, _SCAN),
     "a2_label_rollup": (a2_label_rollup, _REPORT),
     "f10_show_patterns": (
         f10_show_patterns,
@@ -242,9 +329,7 @@ QUERIES = {
     "t5_distance_pairs": (t5_distance_pairs, "SELECT p_partkey, CAST(damerau_levenshtein(p_name, p_type) AS INTEGER) AS d FROM part"),
     "t8_qgram_score": (
         t8_qgram_score,
-        f"""WITH c AS (SELECT p_partkey, {_CODES.format(c='p_name')} AS a, {_CODES.format(c='p_type')} AS b FROM part),
-        h AS (SELECT p_partkey, {_HASHES.format(c='a')} AS x, {_HASHES.format(c='b')} AS y, least(len(a), len(b)) - 4 AS m FROM c)
-        SELECT p_partkey, round(CAST(CAST(len(list_filter(y, lambda g: list_contains(x, g))) AS FLOAT) / CAST(m AS FLOAT) AS DOUBLE), 5) AS score FROM h""",
+        _QGRAM,
     ),
     "j3_infix_names": (
         j3_infix_names,
@@ -253,7 +338,15 @@ QUERIES = {
         s AS (SELECT line, min(p_partkey) AS p_partkey FROM l WHERE length(line) > 0 GROUP BY line)
         SELECT line, p_partkey FROM s WHERE NOT EXISTS (SELECT 1 FROM s AS o WHERE o.line <> s.line AND contains(o.line, s.line))""",
     ),
-    "j3_infix_lines": (j3_infix_lines, None),
+    "j3_infix_lines": (
+        j3_infix_lines,
+        f"""WITH s AS (SELECT line, min((doc_id, line_no)) AS f FROM ({_LINES}) AS l WHERE length(line) > 0 GROUP BY line)
+        SELECT line, f[1] AS doc_id, f[2] AS line_no FROM s
+        WHERE NOT EXISTS (SELECT 1 FROM s AS o WHERE length(o.line) > length(s.line) AND contains(o.line, s.line))""",
+    ),
+    "st1_stream_match": (st1_stream_match, _COUNTS),
+    "st1_stream_fast_terms": (st1_stream_fast_terms, _rows(regex=_FAST)),
+    "st1_stream_qgram": (st1_stream_qgram, _QGRAM),
     "st1_stream_terms": (
         lambda spark, d: streams.stream_term_freq(spark, f"{d}/documents.parquet"),
         f"SELECT term, count(*) AS n FROM ({_rows()}) AS r GROUP BY term",

@@ -9,16 +9,34 @@ from pyspark.sql import functions as F
 
 #: Bytes that an operator broadcasts at most; beyond it joins by a shuffle.
 BROADCAST_BYTES = 64 << 20
+#: Bytes that a core reads as one task.
+SPLIT_BYTES = 128 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a new one only where that is unset."""
+    """The folder of ``spark.checkpoint.dir``; where it is unset, a new one in local mode, an error on a cluster."""
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lexmill-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="lexmill-"))
     return sc.getCheckpointDir()
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """A scan of fewer files than there are cores, and little data for each of these, dealt to all of them by ``key``.
+
+    A file of one row group is one task however many splits it has.  Large inputs have
+    splits enough and stay as they are, so nothing that grows is shuffled for this.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    if size >= cores * SPLIT_BYTES or len(df.inputFiles()) >= cores:
+        return df
+    return df.repartition(cores, key)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` computed once, kept in the shared folder."""
     shared_dir(df.sparkSession)
@@ -47,14 +65,15 @@ def numbered(df: DataFrame, order: list[str], name: str, start: int = 1) -> Data
     """
     k = free_name(df, "k")
     kept = cut(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(k, F.monotonically_increasing_id()))
-    part = F.shiftright(F.col(k), 33)
-    sizes = sorted((r[0], r[1]) for r in kept.groupBy(part.alias("p")).count().collect())
+    part = free_name(kept, "part")
+    placed = kept.withColumn(part, F.shiftright(k, 33))
     base, offsets = start, []
-    for p, n in sizes:
-        offsets += [F.lit(p), F.lit(base)]
+    for p, n in sorted((r[0], r[1]) for r in placed.groupBy(part).count().collect()):  # a row for each partition
+        offsets.append((p, base))
         base += n
     if not offsets:
         return df.withColumn(name, F.lit(None).cast("bigint"))
+    first = free_name(placed, "first")
+    table = df.sparkSession.createDataFrame(offsets, f"{part} long, {first} long")
     within = F.col(k).bitwiseAND(F.lit((1 << 33) - 1))
-    lookup = F.create_map(*offsets)
-    return kept.withColumn(name, (F.element_at(lookup, part) + within).cast("bigint")).drop(k)
+    return placed.join(F.broadcast(table), part).withColumn(name, (F.col(first) + within).cast("bigint")).drop(k, part, first)

@@ -5,57 +5,55 @@ from __future__ import annotations
 import json
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..operators.bloom import BloomFilter, BloomParams
 from ..operators.enumerate import new_state
-
-
-def exists(spark: SparkSession, path: str) -> bool:
-    """Is there a file or folder of that name?"""
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+from .versions import VersionedTable
 
 
 def load_dictionary(spark: SparkSession, path: str) -> DataFrame:
     """The dictionary (term, id) of a folder; an empty one if there is none."""
-    return spark.read.parquet(path) if exists(spark, path) else new_state(spark)
+    return _newest(spark, path) or new_state(spark)
 
 
 def save_dictionary(state: DataFrame, path: str) -> bool:
-    """Write a dictionary, if it has more terms than the folder's; did it?
+    """Write a dictionary, if it isn't what the folder has; did it?
 
-    The new folder is written beside the old one before that goes, as ``state`` may
-    be read from it.
+    It becomes a version of its own, which counts once it is whole; the one before stays, as
+    ``state`` may be read from it.  A loss at any time leaves one of the two.
     """
     spark = state.sparkSession
-    if exists(spark, path) and spark.read.parquet(path).count() >= state.count():
+    old = _newest(spark, path)
+    rows = lambda df: tuple(df.agg(F.count("*"), F.sum(F.xxhash64("term", "id").cast("decimal(38,0)"))).first())
+    if old is not None and rows(old) == rows(state):
         return False
-    _swap(state, path)
+    _write(state.select("term", "id"), path)
     return True
 
 
-def _swap(df: DataFrame, path: str) -> None:
-    spark = df.sparkSession
-    df.write.mode("overwrite").parquet(f"{path}.new")
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
-    old, new = hadoop.Path(path), hadoop.Path(f"{path}.new")
-    fs = old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.delete(old, True)
-    fs.rename(new, old)
+def _newest(spark: SparkSession, path: str) -> DataFrame | None:
+    return VersionedTable(spark, path).read()
+
+
+def _write(df: DataFrame, path: str) -> None:
+    held = VersionedTable(df.sparkSession, path)
+    held.write(df, held.last() + 1)
 
 
 def save_bloom(f: BloomFilter, path: str) -> None:
-    """Write a filter's words and what describes it."""
-    _swap(f.words, f"{path}/words")
+    """Write a filter's words and what describes it, as one version of the folder."""
     p = f.params
     about = json.dumps({"size": p.size, "k": p.k, "capacity": p.capacity, "p": p.p, "count": f.count})
-    _swap(f.words.sparkSession.createDataFrame([(about,)], "about string").coalesce(1), f"{path}/about")
+    head = f.words.sparkSession.createDataFrame([(about,)], "about string").coalesce(1)
+    _write(f.words.unionByName(head, allowMissingColumns=True), path)
 
 
 def load_bloom(spark: SparkSession, path: str) -> BloomFilter:
     """The filter of a folder; ValueError if there is none."""
-    if not exists(spark, f"{path}/about"):
+    held = _newest(spark, path)
+    if held is None:
         raise ValueError(f"no filter in {path}")
-    about = json.loads(spark.read.parquet(f"{path}/about").first()[0])
+    about = json.loads(held.filter("about IS NOT NULL").first().about)
     count = about.pop("count")
-    return BloomFilter(BloomParams(**about), spark.read.parquet(f"{path}/words"), count)
+    return BloomFilter(BloomParams(**about), held.filter("about IS NULL").drop("about"), count)

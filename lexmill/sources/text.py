@@ -69,6 +69,27 @@ def render_score(score: str = "score") -> F.Column:
     return F.format_string("%.6f", F.col(score).cast("double"))
 
 
+def render_hits(rate: DataFrame, source: str = STDIN) -> DataFrame:
+    """(value): of (hits, total, pct) the line ``hits``, source, hits by total and the rate with two digits; 0.00 of none."""
+    share = F.format_string("%d/%d", "hits", "total")
+    return rate.select(F.concat_ws("\t", F.lit("hits"), F.lit(source), share, F.format_string("%.2f%%", F.coalesce("pct", F.lit(0.0)))).alias("value"))
+
+
+def render_id(number: str = "id") -> F.Column:
+    """An id as digits."""
+    return F.col(number).cast("string")
+
+
+def render_profile(profile: DataFrame) -> DataFrame:
+    """(value): a line for each bucket of a letter profile: size and bucket, its share, its grams, the most frequent first."""
+    grams = F.sort_array(F.collect_list(F.struct((-F.col("cnt")).alias("c"), "gram")))
+    one = profile.groupBy("n", "bucket").agg(F.sum("pct").alias("pct"), grams.alias("g"))
+    code = F.lpad(F.lower(F.hex("bucket")), F.col("n") + 1, F.lit("0"))
+    names = F.array_join(F.transform("g", lambda x: x["gram"]), " ")
+    line = F.concat(F.col("n").cast("string"), F.lit(":"), code, F.format_string("\t%.6f%%\t ", "pct"), names)
+    return one.select(line.alias("value"))
+
+
 def pipe_pages(pages: DataFrame, command: list[str], text: str = "text") -> DataFrame:
     """``pages`` with each non-empty page replaced by what ``command`` makes of it.
 
@@ -86,3 +107,15 @@ def pipe_pages(pages: DataFrame, command: list[str], text: str = "text") -> Data
             yield b.set_column(k, b.schema.field(k), pa.array(out, b.schema.field(k).type))
 
     return pages.mapInArrow(run, pages.schema)
+
+
+def joined_pages(pages: DataFrame, key: str = "doc_id", sep: str = "\f\n", text: str = "text") -> DataFrame:
+    """(key, text): the pages of a document in the order of their ``page_no`` with ``sep`` between, as many as there are numbers.
+
+    Of pages that were left out as empty the separators stay, up to the last page there is.
+    A document is one row, as a file is; its pages meet in one task.
+    """
+    listed = F.sort_array(F.collect_list(F.struct("page_no", F.col(text).alias("t"))))
+    step = lambda a, x: F.struct(F.concat(a["t"], F.repeat(F.lit(sep), x["page_no"] - a["n"]), x["t"]).alias("t"), x["page_no"].alias("n"))
+    start = F.struct(F.lit("").alias("t"), F.lit(1).alias("n"))
+    return pages.groupBy(key).agg(F.aggregate(listed, start, step)["t"].alias(text))

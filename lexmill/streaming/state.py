@@ -8,97 +8,109 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.bloom import BloomFilter, BloomParams, bloom_add, bloom_build
-from ..operators.enumerate import extend_state, new_state
+from ..operators.bloom import BloomFilter, BloomParams, bloom_build, bloom_lacks
+from ..operators.enumerate import new_entries, new_state
 from ..operators.layout import common_gaps, fields, gaps, unwrap_step
 from ..operators.terms import term_freq, terms
 from ..runtime import shared_dir
+from ..sources.versions import DeltaTable
 
 
-class VersionedTable:
-    """A table that a stream replaces: one folder a batch, of which the last whole one counts.
+def dictionary_table(spark: SparkSession, path: str) -> DeltaTable:
+    """The dictionary (term, id) that ``enumerate_batches`` keeps."""
+    return DeltaTable(spark, path)
 
-    Writing a batch again writes the same folder again, so a batch that is replayed after
-    a loss does no harm.
-    """
 
-    def __init__(self, spark: SparkSession, path: str, keep: int = 2):
-        self.spark, self.path, self.keep = spark, path, keep
-        self._hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
-        self._fs = self._hadoop.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+def enumerate_batches(path: str, order: list[str], term: str = "term") -> Callable[[DataFrame, int], None]:
+    """For ``foreachBatch``: extends the dictionary (term, id) at ``path`` by the batch's terms; only new ones are written."""
 
-    def _versions(self) -> list[int]:
-        root = self._hadoop.Path(self.path)
-        if not self._fs.exists(root):
-            return []
-        names = [s.getPath().getName() for s in self._fs.listStatus(root)]
-        found = [int(n[2:]) for n in names if n.startswith("v=") and n[2:].isdigit()]
-        return sorted(v for v in found if self._fs.exists(self._hadoop.Path(f"{self.path}/v={v}/_SUCCESS")))
+    def run(batch: DataFrame, number: int) -> None:
+        held = dictionary_table(batch.sparkSession, path)
+        state = held.read(number)
+        held.write(new_entries(batch, order, term, new_state(batch.sparkSession) if state is None else state), number)
 
-    def read(self, before: int | None = None) -> DataFrame | None:
-        """The table as it was before batch ``before``, or as it is; None if there is none yet."""
-        there = [v for v in self._versions() if before is None or v < before]
-        return self.spark.read.parquet(f"{self.path}/v={there[-1]}") if there else None
+    return run
 
-    def write(self, df: DataFrame, batch: int) -> None:
-        df.write.mode("overwrite").parquet(f"{self.path}/v={batch}")
-        for v in self._versions()[: -self.keep]:
-            self._fs.delete(self._hadoop.Path(f"{self.path}/v={v}"), True)
 
+def _merged_words(rows: DataFrame) -> DataFrame:
+    """Words with their bits together; the row of part -1 has the count of keys."""
+    bits = F.when(F.col("part") < 0, F.sum("bits")).otherwise(F.bit_or("bits"))
+    return rows.groupBy("part", "word").agg(bits.alias("bits"))
 
-def enumerate_batches(path: str, order: list[str], term: str = "term") -> Callable[[DataFrame, int], None]:
-    """For ``foreachBatch``: extends the dictionary (term, id) at ``path`` by the batch's terms."""
 
-    def run(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        held = VersionedTable(spark, path)
-        state = held.read(number)
-        held.write(extend_state(batch, order, term, new_state(spark) if state is None else state), number)
+def bloom_table(spark: SparkSession, path: str) -> DeltaTable:
+    return DeltaTable(spark, path, _merged_words)
 
-    return run
+
+def stream_bloom(spark: SparkSession, path: str, params: BloomParams, before: int | None = None) -> BloomFilter | None:
+    """The filter that ``bloom_batches`` keeps; None if there is none yet."""
+    rows = bloom_table(spark, path).read(before)
+    if rows is None:
+        return None
+    count = rows.filter("part < 0").agg(F.coalesce(F.sum("bits"), F.lit(0))).first()[0]
+    return BloomFilter(params, rows.filter("part >= 0"), count)
 
 
 def bloom_batches(path: str, col: str, params: BloomParams) -> Callable[[DataFrame, int], None]:
-    """For ``foreachBatch``: adds the batch's values to the filter at ``path``; the count of keys is in each row."""
+    """For ``foreachBatch``: adds the batch's values to the filter at ``path``; only the words of new keys are written."""
 
     def run(batch: DataFrame, number: int) -> None:
-        from pyspark.sql import functions as F
-
-        held = VersionedTable(batch.sparkSession, path)
-        old = held.read(number)
-        if old is None:
-            f = bloom_build(batch, col, params)
-        else:
-            count = old.agg(F.coalesce(F.max("count"), F.lit(0))).first()[0]
-            f = bloom_add(BloomFilter(params, old.drop("count"), count), batch, col)
-        held.write(f.words.withColumn("count", F.lit(f.count).cast("bigint")), number)
+        spark = batch.sparkSession
+        old = stream_bloom(spark, path, params, number)
+        added = bloom_build(batch if old is None else bloom_lacks(batch, col, old), col, params)
+        count = spark.createDataFrame([(-1, 0, added.count)], "part int, word long, bits long")
+        bloom_table(spark, path).write(added.words.unionByName(count), number)
 
     return run
 
 
-def _by_document(lines: DataFrame, doc_id: str, output: str, step) -> DataFrame:
-    """Stateful per document: lines of a micro-batch in order of line_no, state as JSON."""
+def _by_document(lines: DataFrame, doc_id: str, output: str, step, end, timeout_ms: int | None = None) -> DataFrame:
+    """Stateful per document: lines of a micro-batch in order of line_no, state as JSON.
+
+    A row whose line is null ends its document, as does ``timeout_ms`` of processing time
+    without lines: ``end`` says what is still to come out, and the state goes.
+    """
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = json.loads(state.get[0]) if state.exists else None
-        rows = pd.concat(list(frames)).sort_values("line_no", kind="stable")
-        out, held = step(list(zip(rows["line_no"], rows["line"])), held)
-        state.update((json.dumps(held),))
+        held = json.loads(state.get[0]) if state.exists else [0, None]
+        out: list = []
+        if state.hasTimedOut:
+            out, held = end(*held), None
+        else:
+            rows = pd.concat(list(frames)).sort_values("line_no", kind="stable")
+            for no, line in zip(rows["line_no"], rows["line"]):
+                held = [0, None] if held is None else held
+                if line is None:
+                    out += end(*held)
+                    held = None
+                else:
+                    more, kept = step([(no, line)], held[1])
+                    out += more
+                    held = [int(no), kept]
+        if held is None:
+            if state.exists:
+                state.remove()
+        else:
+            state.update((json.dumps(held),))
+            if timeout_ms:
+                state.setTimeoutDuration(timeout_ms)
         yield pd.DataFrame([(key[0], *r) for r in out], columns=[doc_id, *[c.split()[0] for c in output.split(", ")]])
 
     kind = dict(lines.dtypes)[doc_id]
-    return lines.groupBy(doc_id).applyInPandasWithState(
-        run, f"{doc_id} {kind}, {output}", "state string", "append", GroupStateTimeout.NoTimeout
-    )
+    waits = GroupStateTimeout.ProcessingTimeTimeout if timeout_ms else GroupStateTimeout.NoTimeout
+    return lines.groupBy(doc_id).applyInPandasWithState(run, f"{doc_id} {kind}, {output}", "state string", "append", waits)
 
 
-def unwrap_stream(lines: DataFrame, doc_id: str = "doc_id") -> DataFrame:
+def unwrap_stream(lines: DataFrame, doc_id: str = "doc_id", timeout_ms: int | None = None) -> DataFrame:
     """(doc_id, line_no, line) of unwrapped lines of a stream (doc_id, line_no, line).
 
     The open paragraph of a document waits in the state for its end; line_no is that of
-    the line that closed it.  A document's lines must arrive in order over the batches.
+    the line that closed it.  A row with a null line ends a document and brings out what is
+    open, with the number of its last line, as does ``timeout_ms`` without lines.  A
+    document's lines must arrive in order over the batches.
     """
 
     def step(rows, held):
@@ -108,11 +120,17 @@ def unwrap_stream(lines: DataFrame, doc_id: str = "doc_id") -> DataFrame:
             out += [(no, x) for x in more]
         return out, held
 
-    return _by_document(lines, doc_id, "line_no long, line string", step)
+    def end(no, held):
+        return [(no, held)] if held else []
+
+    return _by_document(lines, doc_id, "line_no long, line string", step, end, timeout_ms)
 
 
 def columns_stream(lines: DataFrame, delim: str = " ", joiner: str = "\t", doc_id: str = "doc_id") -> DataFrame:
-    """(doc_id, line_no, line): each line cut at the gaps common to it and all before it, joined by ``joiner``."""
+    """(doc_id, line_no, line): each line cut at the gaps common to it and all before it, joined by ``joiner``.
+
+    A row with a null line ends a document; the next line begins anew.
+    """
 
     def step(rows, held):
         cuts = [tuple(x) for x in held or []]
@@ -122,7 +140,7 @@ def columns_stream(lines: DataFrame, delim: str = " ", joiner: str = "\t", doc_i
             out.append((no, joiner.join(fields(line, cuts, delim))))
         return out, cuts
 
-    return _by_document(lines, doc_id, "line_no long, line string", step)
+    return _by_document(lines, doc_id, "line_no long, line string", step, lambda no, held: [])
 
 
 def _stream(spark: SparkSession, path: str, schema) -> DataFrame:
@@ -134,14 +152,39 @@ def _stream(spark: SparkSession, path: str, schema) -> DataFrame:
     return reader.parquet(path)
 
 
+def _counts(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("term").agg(F.sum("n").alias("n"))
+
+
+def count_batches(path: str) -> Callable[[DataFrame, int], None]:
+    """For ``foreachBatch``: adds the batch's (term, n), counted, to the frequencies at ``path``."""
+
+    def run(batch: DataFrame, number: int) -> None:
+        DeltaTable(batch.sparkSession, path, _counts).write(term_freq(batch), number)
+
+    return run
+
+
+def streamed(spark: SparkSession, path: str, transform: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """A row-local ``transform`` of the Parquet files at ``path``, read as a stream up to what is there now."""
+    folder = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    rows = transform(_stream(spark, path, spark.read.parquet(path).schema))
+    query = (
+        rows.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/log")
+        .trigger(availableNow=True).start()
+    )
+    query.awaitTermination()
+    return spark.read.schema(rows.schema).parquet(f"{folder}/out")
+
+
 def stream_term_freq(spark: SparkSession, path: str) -> DataFrame:
-    """(term, n) of documents read as a stream: terms are written file by file and counted at the end."""
+    """(term, n) of documents read as a stream: each batch is counted, and the counts are summed."""
     folder = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
-    schema = spark.read.parquet(path).schema
-    rows = terms(_stream(spark, path, schema).select("doc_id", "text"))
+    rows = terms(_stream(spark, path, spark.read.parquet(path).schema).select("doc_id", "text"))
     query = (
-        rows.writeStream.format("parquet").option("path", f"{folder}/terms").option("checkpointLocation", f"{folder}/log")
+        rows.writeStream.foreachBatch(count_batches(f"{folder}/counts")).option("checkpointLocation", f"{folder}/log")
         .trigger(availableNow=True).start()
     )
     query.awaitTermination()
-    return term_freq(spark.read.schema(rows.schema).parquet(f"{folder}/terms"))
+    counts = DeltaTable(spark, f"{folder}/counts", _counts).read()
+    return spark.createDataFrame([], "term string, n long") if counts is None else counts
