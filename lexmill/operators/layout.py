@@ -134,13 +134,23 @@ def column_fields(lines: list[str], delim: str = " ", mode: str = "running") ->
     return [fields(line, s, delim) for line, s in zip(lines, states)]
 
 
-def split_columns(df: DataFrame, delim: str = " ", mode: str = "running", text: str = "text") -> DataFrame:
-    """df's columns but ``text``, with a row (line_no, fields) for each line, line_no from 1."""
+def split_columns(df: DataFrame, delim: str = " ", mode: str = "running", text: str = "text", by_bytes: bool = False) -> DataFrame:
+    """df's columns but ``text``, with a row (line_no, fields) for each line, line_no from 1.
+
+    Places in a line are counted in characters, or in bytes if ``by_bytes``; characters that
+    a cut between bytes breaks are replaced.
+    """
     if mode not in ("running", "global"):
         raise ValueError("mode is 'running' or 'global'")
 
+    def split(t: str) -> list[list[str]]:
+        if not by_bytes:
+            return column_fields(text_lines(t), delim, mode)
+        found = column_fields(text_lines(t.encode().decode("latin-1")), delim.encode().decode("latin-1"), mode)
+        return [[x.encode("latin-1").decode("utf-8", "replace") for x in line] for line in found]
+
     def run(texts: pa.Array) -> pa.Array:
-        rows = [None if t is None else column_fields(text_lines(t), delim, mode) for t in texts.to_pylist()]
+        rows = [None if t is None else split(t) for t in texts.to_pylist()]
         return pa.array(rows, pa.list_(pa.list_(pa.string())))
 
     others = [c for c in df.columns if c not in (text, "line_no", "fields")]

@@ -224,6 +224,30 @@ step AS (
 SELECT doc_id, arg_max(out || CASE WHEN held <> '' THEN held || chr(10) ELSE '' END, line_no) AS text FROM step GROUP BY doc_id
 UNION ALL SELECT doc_id, text FROM documents WHERE text IS NULL"""
 
+# two gaps that overlap give one if neither side has a later gap that begins within the other's
+_COLUMNS = f"""
+WITH RECURSIVE l AS ({_LINES}),
+marks AS (
+  SELECT doc_id, line_no, line, list_filter(range(1, length(line) + 1), lambda i: line[i] = ' ' AND (i = 1 OR line[i - 1] <> ' ')) AS b,
+    list_filter(range(1, length(line) + 1), lambda i: line[i] = ' ' AND (i = length(line) OR line[i + 1] <> ' ')) AS e FROM l
+),
+found AS (
+  SELECT doc_id, line_no, line, list_transform(range(1, len(b) + CASE WHEN e[len(e)] = length(line) THEN 0 ELSE 1 END),
+    lambda k: {{'lo': b[k] - 1, 'hi': e[k]}}) AS y FROM marks
+),
+state AS (
+  SELECT doc_id, line_no, line, y AS g FROM found WHERE line_no = 1
+  UNION ALL
+  SELECT f.doc_id, f.line_no, f.line, CASE WHEN len(shared) > 0 THEN shared ELSE y END
+  FROM state AS s JOIN found AS f ON f.doc_id = s.doc_id AND f.line_no = s.line_no + 1, LATERAL (SELECT
+    flatten(list_transform(s.g, lambda p: list_transform(list_filter(f.y, lambda q: greatest(p.lo, q.lo) < least(p.hi, q.hi)
+      AND len(list_filter(s.g, lambda o: o.lo > p.lo AND o.lo < q.hi)) = 0 AND len(list_filter(f.y, lambda o: o.lo > q.lo AND o.lo < p.hi)) = 0),
+      lambda q: {{'lo': greatest(p.lo, q.lo), 'hi': least(p.hi, q.hi)}}))) AS shared) AS c
+)
+SELECT doc_id, line_no, array_to_string(list_transform(range(0, len(g) + 1), lambda k: trim(substr(line,
+  CASE WHEN k = 0 THEN 1 ELSE g[k].hi + 1 END, greatest(0, CASE WHEN k = len(g) THEN length(line) ELSE g[k + 1].lo END - CASE WHEN k = 0 THEN 0 ELSE g[k].hi END)), ' ')), chr(9)) AS line
+FROM """
+
 # the steps of suffix stripping on (w, s): the word and its shape, c and v for its letters
 _SHAPE = """list_reduce(list_prepend('', string_split({w}, '')), lambda a, x: a || CASE WHEN x IN ('a', 'e', 'i', 'o', 'u') THEN 'v'
   WHEN x = 'y' THEN CASE WHEN a = '' OR a LIKE '%v' THEN 'c' ELSE 'v' END WHEN x = '' THEN '' ELSE 'c' END)"""
@@ -294,8 +318,8 @@ QUERIES = {
     "w1_ngram3": _ngrams(3),
     "w2_enum": (w2_enum, f"{_ENUM} SELECT term, id FROM dict"),
     "w2_enum_rows": (w2_enum_rows, f"{_ENUM} SELECT doc_id, pos, rows.term, id FROM rows JOIN dict ON rows.term = dict.term"),
-    "w4_columns": (w4_columns, None),
-    "w4_columns_global": (w4_columns_global, None),
+    "w4_columns": (w4_columns, f"{_COLUMNS} state"),
+    "w4_columns_global": (w4_columns_global, f"{_COLUMNS} (SELECT doc_id, line_no, line, last_value(g) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS g FROM state) AS last"),
     "f17_lookup_no_extend": (
         f17_lookup_no_extend,
         f"{_ENUM} SELECT item_id, pos, b.term, coalesce(id, 0) AS id FROM ({_rows('benchmark', 'item_id')}) AS b LEFT JOIN dict ON b.term = dict.term",
