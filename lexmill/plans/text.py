@@ -233,15 +233,15 @@ marks AS (
 ),
 found AS (
   SELECT doc_id, line_no, line, list_transform(range(1, len(b) + CASE WHEN e[len(e)] = length(line) THEN 0 ELSE 1 END),
-    lambda k: {{'lo': b[k] - 1, 'hi': e[k]}}) AS y FROM marks
+    lambda k: {{'lo': b[k] - 1, 'hi': e[k], 'nx': CASE WHEN k < len(b) - CASE WHEN e[len(e)] = length(line) THEN 1 ELSE 0 END THEN b[k + 1] - 1 ELSE 1000000000 END}}) AS y FROM marks
 ),
 state AS (
   SELECT doc_id, line_no, line, y AS g FROM found WHERE line_no = 1
   UNION ALL
-  SELECT f.doc_id, f.line_no, f.line, CASE WHEN len(shared) > 0 THEN shared ELSE y END
+  SELECT f.doc_id, f.line_no, f.line, CASE WHEN len(shared) > 0 THEN list_transform(range(1, len(shared) + 1),
+    lambda k: {{'lo': shared[k].lo, 'hi': shared[k].hi, 'nx': coalesce(shared[k + 1].lo, 1000000000)}}) ELSE y END
   FROM state AS s JOIN found AS f ON f.doc_id = s.doc_id AND f.line_no = s.line_no + 1, LATERAL (SELECT
-    flatten(list_transform(s.g, lambda p: list_transform(list_filter(f.y, lambda q: greatest(p.lo, q.lo) < least(p.hi, q.hi)
-      AND len(list_filter(s.g, lambda o: o.lo > p.lo AND o.lo < q.hi)) = 0 AND len(list_filter(f.y, lambda o: o.lo > q.lo AND o.lo < p.hi)) = 0),
+    flatten(list_transform(s.g, lambda p: list_transform(list_filter(f.y, lambda q: greatest(p.lo, q.lo) < least(p.hi, q.hi) AND p.nx >= q.hi AND q.nx >= p.hi),
       lambda q: {{'lo': greatest(p.lo, q.lo), 'hi': least(p.hi, q.hi)}}))) AS shared) AS c
 )
 SELECT doc_id, line_no, array_to_string(list_transform(range(0, len(g) + 1), lambda k: trim(substr(line,
