@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import BROADCAST_BYTES, cut, free_name, may_broadcast
+from .runtime import BROADCAST_BYTES, cut, free_name, may_broadcast, small_batches
 from .text import doc_chunks, shingles, split_words
 
 N = 5
@@ -198,7 +198,7 @@ def contained_items(
     may have any names.  The items are broadcast if they are checked
     to take at most ``broadcast_bytes``, else minima are joined by a shuffle.
     """
-    d = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    d = small_batches(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")))
     b = benchmark.select(F.col(item_id).alias("item_id"), F.col(item_text).alias("text"))
     limit = BROADCAST_BYTES if broadcast_bytes is None else broadcast_bytes
     size = b.agg(F.coalesce(F.sum(F.octet_length("text") + 64), F.lit(0))).first()[0]

@@ -21,6 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .runtime import small_batches
 from .text import Words, doc_chunks, hash_spans, mix, split_words
 
 #: Labelled documents that the field is trained on at most, as many of each language.
@@ -291,6 +292,7 @@ def train(
     document of more than ``max_words`` words so many are trained on, in windows drawn from
     all of it.  A repeated row is one; null ids count, null texts and wordless ones don't.
     """
+    docs = small_batches(docs)
     named = docs.select(F.xxhash64(doc_id, text).alias("order"), F.col(lang).cast("string").alias("lang"), F.col(text).alias("text")).filter(
         F.col("lang").isNotNull() & (F.col("lang") != "") & F.col("text").isNotNull()
     )
@@ -366,6 +368,7 @@ def language_spans(
     table gives no rows; texts of any length are labelled whole; columns that aren't named
     are not read, so theirs may have any names.
     """
+    docs = small_batches(docs)
     field = field or train(docs, text, doc_id, lang, **training)
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     schema = f"doc_id {dict(docs.dtypes)[doc_id]}, {_RESULT}"

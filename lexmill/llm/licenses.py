@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .automaton import SuffixAutomaton
+from .runtime import small_batches
 from .text import doc_chunks, mix, split_words
 
 MIN_MATCH = 3
@@ -391,7 +392,7 @@ def license_spans(
         groups[-1].append((name, t))
         size += words
     single = len(groups) == 1
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    rows = small_batches(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")))
     if not single:
         rows = rows.withColumn("row", F.monotonically_increasing_id())
     context = docs.sparkSession.sparkContext

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .runtime import cut, free_name, small
+from .runtime import cut, free_name, small, small_batches
 from .text import doc_chunks, shingles, split_words
 
 N = 3
@@ -330,6 +330,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 def near_groups(docs: DataFrame, row: str, text: str, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
     """(child, root) of the rows that are near duplicates; ``row`` is a long that identifies rows."""
+    docs = small_batches(docs)
     sign = docs.select(F.col(row).alias("row"), F.col(text).alias("text")).mapInArrow(
         _sign(n), "row long, sig binary, low binary"
     )

@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .runtime import cut, small
+from .runtime import cut, small, small_batches
 from .text import doc_chunks, string_buffers
 
 CAPACITY = 2048
@@ -293,6 +293,7 @@ def pack(
     no rows, and columns that aren't named are not read, so theirs may have any names.
     The plan is made at once, by several jobs.
     """
+    docs = small_batches(docs)
     spark = docs.sparkSession
     rows = docs.select(
         F.col(doc_id).alias("doc_id"), (word_count(F.col(text)) if length is None else length.cast("long")).alias("n")

@@ -21,6 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .runtime import small_batches
 from .text import Words, doc_chunks, hash_spans, mix, split_words, string_buffers
 
 #: Labelled rows that the model is fitted on at most, taken in order of a hash of their id.
@@ -227,6 +228,7 @@ def train(
         .filter("id IS NOT NULL AND good IS NOT NULL")
         .orderBy(F.xxhash64("id"), "id", "good").limit(max_rows)
     )
+    docs = small_batches(docs)
     fields = [F.col(c).alias(f"m{k}") for k, c in enumerate(meta)]
     rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"), *fields)
     # an id may stand in any number of rows: of all that have a chosen one, so many are taken
@@ -287,6 +289,7 @@ def quality_scores(
     is scored each time, a text of any length whole.  Without usable labels every score is 1.  An empty table
     gives no rows; columns that aren't named are not read.
     """
+    docs = small_batches(docs)
     machine = train(docs, labels, text, doc_id, meta, **training)
     score = score_column(machine, docs.sparkSession, F.col(text), *[F.col(c) for c in meta])
     scored = docs.select(F.col(doc_id).alias("doc_id"), score.alias("score"))
@@ -302,5 +305,6 @@ def keep_good(
     Nulls, empty and long texts, ties, repeated rows and empty tables are as there; further
     columns stay, whatever their names.
     """
+    docs = small_batches(docs)
     machine = train(docs, labels, text, doc_id, meta, **training)
     return docs.filter(score_column(machine, docs.sparkSession, F.col(text), *[F.col(c) for c in meta]) >= keep_at)

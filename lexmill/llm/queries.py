@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..runtime import spread
 from . import decontam, exact, langid, licenses, neardup, packing, quality, repeats, tokens, warc
 from .runtime import checkpoint_dir, cut, remove
 from .text import WORD_RE
@@ -20,8 +21,13 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents, for operators that don't number rows by their places in the scan."""
+    return spread(_table(spark, sf_dir, "documents"), "doc_id")
+
+
 def op1_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return quality.quality_scores(_spread(spark, sf_dir), _table(spark, sf_dir, "labels"))
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,7 +42,7 @@ WHERE doc_id <> keep_id
 
 
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.license_spans(_table(spark, sf_dir, "documents"))
+    return licenses.license_spans(_spread(spark, sf_dir))
 
 
 def op4_warc_normaliser(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,7 +60,7 @@ SELECT page_id, url, html, CAST(strlen(html) AS BIGINT) AS content_length FROM p
 
 
 def op5_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return langid.language_spans(_table(spark, sf_dir, "documents"))
+    return langid.language_spans(_spread(spark, sf_dir))
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,11 +68,11 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_token_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokens.pack_tokens(_table(spark, sf_dir, "documents"), VOCABULARY)
+    return tokens.pack_tokens(_spread(spark, sf_dir), VOCABULARY)
 
 
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(_table(spark, sf_dir, "documents"))
+    return packing.pack(_spread(spark, sf_dir))
 
 
 def op9_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,7 +80,7 @@ def op9_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontam.contained_items(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return decontam.contained_items(_spread(spark, sf_dir), _table(spark, sf_dir, "benchmark"))
 
 
 OP10_SQL = f"""

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .automaton import SuffixAutomaton
-from .runtime import checkpoint_dir, cut, free_name, remove, small
+from .runtime import checkpoint_dir, cut, free_name, remove, small, small_batches
 from .text import Words, doc_chunks, shingles, split_words, string_buffers
 
 MIN_WORDS = 50
@@ -201,7 +201,7 @@ def _spans(docs: DataFrame, row: str, text: str, doc_id: str, min_words: int, gr
     if not 1 <= gram <= min_words:
         raise ValueError("gram must be from 1 to min_words")
     kind = dict(docs.dtypes)[doc_id]
-    docs = docs.select(F.col(row).alias("row"), F.col(doc_id).alias("id"), F.col(text).alias("text"))
+    docs = small_batches(docs).select(F.col(row).alias("row"), F.col(doc_id).alias("id"), F.col(text).alias("text"))
     found = cut(docs.select("row", "text").mapInArrow(_minimizers(min_words, gram), "row long, mini long, first long, end long"))
     shared = cut(found.groupBy("mini").agg(F.min("row").alias("a"), F.max("row").alias("b")).filter("a <> b").select("mini"))
     lists = cut(
@@ -319,5 +319,5 @@ def remove_repeated_spans(
         return _without(texts, at)
 
     cleaned = F.arrow_udf(without, "string")(F.col(text), F.col(spans))
-    both = numbered.join(small(lists, size, 1), row, "left")
+    both = small_batches(numbered).join(small(lists, size, 1), row, "left")
     return both.withColumn(text, F.when(F.col(spans).isNull(), F.col(text)).otherwise(cleaned)).drop(row, spans)

@@ -11,6 +11,37 @@ from pyspark.sql import functions as F
 BROADCAST_BYTES = 64 << 20
 
 
+#: Bytes of an Arrow batch of texts, in the JVM and in Python; a batch has one row at least.
+BATCH_BYTES = 4 << 20
+
+
+#: Of each session that operators were used in, by its id, the one that they run in.
+_own: dict[str, SparkSession] = {}
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df`` in a session of the operators' own, with the settings of its session, where Arrow batches are of BATCH_BYTES.
+
+    So an operator's memory depends neither on these settings nor on what ran before, and
+    the user's session stays as it is.
+    """
+    spark = df.sparkSession
+    name = spark._jsparkSession.sessionUUID()
+    own = _own.get(name)
+    if own is None or own.sparkContext is not spark.sparkContext:
+        copy = spark._jsparkSession.cloneSession()
+        # one for all: Python workers of different sessions aren't shared
+        own = _own[name] = _own[copy.sessionUUID()] = SparkSession(spark.sparkContext, copy)
+    mine, theirs = (x._jsparkSession.sessionState().conf() for x in (own, spark))
+    if own._jsparkSession.sessionUUID() != name:
+        mine.clear()
+        for k in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(theirs.getAllConfs()).items():
+            mine.setConfString(*k)
+    mine.setConfString("spark.sql.execution.arrow.maxBytesPerBatch", f"{BATCH_BYTES}b")
+    rows = spark._jvm.org.apache.spark.sql.classic.Dataset.ofRows(own._jsparkSession, df._jdf.queryExecution().analyzed())
+    return DataFrame(rows, own)
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder of ``spark.checkpoint.dir``; where it is unset, a new one in local mode, an error on a cluster."""
     sc = spark.sparkContext

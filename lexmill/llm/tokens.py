@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .files import replacing
+from .runtime import small_batches
 
 #: Ids of a block; a multiple of 64.
 BLOCK = 4096
@@ -176,7 +177,7 @@ def pack_tokens(
         ranks = f.read()
     bits = bits_for(1 + max(int(line.split()[1]) for line in ranks.splitlines() if line.strip()))
     shared = docs.sparkSession.sparkContext.broadcast(ranks)  # of the vocabulary's size, whatever the corpus
-    rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
+    rows = small_batches(docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")))
     kind = dict(rows.dtypes)["id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

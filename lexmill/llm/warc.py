@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .files import open_fs, replacing
-from .runtime import cut
+from .runtime import cut, small_batches
 
 CHUNK = 1 << 18
 LEVEL = 6
@@ -60,7 +60,7 @@ def write_monolithic(
     without rows has no file, an empty table none at all.  Columns that aren't named aren't
     read.
     """
-    rows = pages.select(
+    rows = small_batches(pages).select(
         F.spark_partition_id().alias("part"), F.col(page_id).alias("id"), F.col(url).alias("url"), F.col(html).alias("html")
     )
 
