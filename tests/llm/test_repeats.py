@@ -1,5 +1,6 @@
 import random
 
+import pyarrow as pa
 import pytest
 
 from lexmill.llm import repeats
@@ -88,3 +89,21 @@ def test_a_phrase_in_many_surroundings_and_very_long_texts(spark, monkeypatch):
     rows += [(500, " ".join(long)), (501, " ".join(words(100) + long[20000:60000]))]
     got = repeats.repeated_spans(spark.createDataFrame(rows, SCHEMA), min_words=20, gram=6, shard_words=400).collect()
     assert {(x.doc_id, w) for x in got for w in range(x.start_word, x.end_word)} == {(i, w) for i, _, w in brute(rows, 20)}
+
+
+def test_the_query_marks_the_documents_that_a_look_up_of_all_windows_finds(spark):
+    from lexmill.llm import queries
+    from lexmill.llm.text import split_words
+
+    sf = "/root/testdata/sf0.01"
+    rows = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").orderBy("doc_id").collect()
+    seen, want = set(), set()
+    for r in rows:
+        w = split_words(pa.array([r.text]))
+        words = [w.word(k) for k in range(len(w.starts))]
+        windows = {tuple(words[k : k + repeats.MIN_WORDS]) for k in range(len(words) - repeats.MIN_WORDS + 1)}
+        if windows & seen:
+            want.add(r.doc_id)
+        seen |= windows
+    got = {r.doc_id for r in queries.op6_substring_dedup(spark, sf).select("doc_id").distinct().collect()}
+    assert len(want) > 50 and got == want
