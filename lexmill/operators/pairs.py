@@ -13,8 +13,11 @@ from pyspark.sql import functions as F
 from ..functions.pairs import osa_distance
 from ..runtime import BROADCAST_BYTES, checked_broadcast, cut
 
-#: Bytes of the substrings by which lines meet that may contain each other.
-GRAM = 8
+#: Bits of the filter of keys for each key, as long as they fit, and hashes of each.
+FILTER_BITS = 32
+FILTER_HASHES = 7
+#: Bytes of snippets that are sent together.
+CHUNK_BYTES = 4 << 20
 
 
 def trimmed(df: DataFrame, line: str, name: str) -> DataFrame:
@@ -48,70 +51,147 @@ def _bytes(lines: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return buf, offs - offs[0]
 
 
-def _packed(buf: np.ndarray, width: int) -> np.ndarray:
-    """The ``width`` bytes from each place on as one number; zeros behind the end."""
-    padded = np.concatenate([buf, np.zeros(width, np.uint8)]).astype(np.uint64)
-    out = np.zeros(len(buf), np.uint64)
-    for k in range(width):
-        out |= padded[k : k + len(buf)] << np.uint64(8 * k)
-    return out
-
-
 def _mixed(x: np.ndarray) -> np.ndarray:
-    """An invertible scramble, so that no gram is least for its spelling."""
+    """An invertible scramble."""
     x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
-    return x ^ (x >> np.uint64(29))
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(32))
 
 
-def line_keys(lines: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(kind, key) of each line, none empty.
+def _shifted(x: np.ndarray, by: int) -> np.ndarray:
+    """``x`` from place ``by`` on, with zeros behind the end."""
+    return np.append(x[by:], np.zeros(min(by, len(x)), x.dtype))
 
-    A line of under ``GRAM`` bytes is its own key, its length the kind.  Of a longer one,
-    the kind is the greatest power of two within its length and the key the least
-    mixed gram of that many bytes from its start.
-    """
+
+def _windows(buf: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(width, hash of the ``width`` bytes from each place on) for the powers of two; up to 8 bytes the hash is invertible."""
+    width, value = 1, buf.astype(np.uint64)
+    while True:
+        yield width, _mixed(value + np.uint64(width)) if width <= 8 else value
+        if width < 8:
+            value = value | (_shifted(value, width) << np.uint64(8 * width))
+        else:
+            value = _mixed(value * np.uint64(0xD6E8FEB86659FD93) + (_shifted(value, width) ^ np.uint64(width)))
+        width *= 2
+
+
+def _kinds(n: np.ndarray) -> np.ndarray:
+    """The greatest power of two within each length."""
+    return np.left_shift(1, np.frexp(n.astype(np.float64))[1].astype(np.int64) - 1)
+
+
+def line_keys(lines: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(kind, key, bytes) of each line, none empty: the greatest power of two within its length, and the hash of so many first bytes."""
     buf, offs = _bytes(lines)
     n = np.diff(offs)
-    short = n < GRAM
-    kind = np.where(short, n, 1 << np.floor(np.log2(np.maximum(n, 1))).astype(np.int64))
-    grams = _mixed(_packed(buf, GRAM))
-    ends = np.stack([offs[:-1], offs[:-1] + np.maximum(kind - GRAM + 1, 1)], axis=1).reshape(-1)
-    key = np.minimum.reduceat(np.append(grams, np.uint64(0)), np.minimum(ends, len(grams)))[::2] if len(n) else grams
-    for s in range(1, GRAM):
-        at = np.flatnonzero(n == s)
-        if len(at):
-            key[at] = _packed(buf, s)[offs[:-1][at]]
-    return kind, key.view(np.int64)
-
-
-def held_keys(lines: pa.Array, kinds: list[int], wanted: dict[int, np.ndarray] | None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(kind, line, key) of all keys that a shorter line inside one of these could have, of the wanted ones if given."""
+    kind, key = _kinds(n), np.zeros(len(n), np.uint64)
+    most = int(kind.max()) if len(n) else 0
+    for width, value in _windows(buf):
+        if width > most:
+            break
+        at = kind == width
+        key[at] = value[offs[:-1][at]]
+    return kind, key.view(np.int64), n
+
+
+def _place(key: np.ndarray, k: int, bits: int) -> np.ndarray:
+    """The place of each key by the ``k``-th hash in a filter of 2 ** ``bits`` bits."""
+    x = key.view(np.uint64)
+    stride = (x & np.uint64(0xFFFFFFFF)) | np.uint64(1)
+    return (((x >> np.uint64(32)) + stride * np.uint64(k)) & np.uint64((1 << bits) - 1)).view(np.int64)
+
+
+def _there(held: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Indices of the keys that the filter may have."""
+    bits = len(held).bit_length() + 2
+    at = np.arange(len(key))
+    for k in range(FILTER_HASHES):
+        place = _place(key[at], k, bits)
+        at = at[((held[place >> 3] >> (place & 7).astype(np.uint8)) & 1).astype(bool)]
+    return at
+
+
+def _key_filter(keys: DataFrame, size: int) -> np.ndarray:
+    """A filter of ``size`` bytes, a power of two, of (key); built in pieces, so that the driver gets its bytes and no more."""
+    bits = size.bit_length() + 2
+    piece = min(size, 1 << 16)
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = np.concatenate([_place(b.column("key").to_numpy(), k, bits) for k in range(FILTER_HASHES)])
+            yield pa.RecordBatch.from_arrays([pa.array(at // (8 * piece)), pa.array(at % (8 * piece))], ["part", "bit"])
+
+    def build(table: pa.Table) -> pa.Table:
+        held = np.zeros(8 * piece, bool)
+        held[table.column("bit").to_numpy()] = True
+        return pa.table({"part": table.column("part")[:1], "held": pa.array([np.packbits(held, bitorder="little").tobytes()], pa.binary())})
+
+    out = np.zeros(size, np.uint8)
+    parts = keys.mapInArrow(places, "part long, bit long").groupBy("part").applyInArrow(build, "part long, held binary").toArrow()
+    for part, held in zip(parts.column("part").to_pylist(), parts.column("held").to_pylist()):
+        out[part * piece : (part + 1) * piece] = np.frombuffer(held, np.uint8)
+    return out
+
+
+def snippets(lines: pa.Array, kinds: list[int], wanted: np.ndarray | None, shared: np.ndarray | None) -> Iterator[tuple[int, list[int], list[bytes]]]:
+    """(kind, keys, snippets): from where a shorter line may begin, up to twice its kind of bytes.
+
+    Where the line itself begins, its last byte is left out, so that what begins there is
+    shorter.  ``wanted`` is a filter of all keys, ``shared`` of those that several lines have.
+    A snippet that another one of the same key begins with needn't be sent.
+    """
     buf, offs = _bytes(lines)
-    n = np.diff(offs)
+    raw, n = buf.tobytes(), np.diff(offs)
     own = np.repeat(np.arange(len(n)), n)
     left = offs[1:][own] - np.arange(len(buf))
-    grams = _mixed(_packed(buf, GRAM))
+    begins = left == n[own]
+    mine = _kinds(n)[own]
+    windows = _windows(buf)
     for kind in kinds:
-        if kind < GRAM:
-            value = _packed(buf, kind)
-        else:
-            value, width, want = grams, 1, kind - GRAM + 1
-            while width < want:
-                step = min(width, want - width)
-                value = np.minimum(value, np.append(value[step:], np.full(step, np.iinfo(np.uint64).max, np.uint64))[: len(value)])
-                width += step
+        width, value = next(windows)
+        while width < kind:
+            width, value = next(windows)
         at = np.flatnonzero((left >= kind) & (n[own] > kind))
-        new = np.ones(len(at), bool)
-        new[1:] = (value[at[1:]] != value[at[:-1]]) | (own[at[1:]] != own[at[:-1]])
-        at = at[new]
         key = value[at].view(np.int64)
         if wanted is not None:
-            there = wanted[kind]
-            ok = there[np.minimum(np.searchsorted(there, key), len(there) - 1)] == key
+            ok = _there(wanted, key)
             at, key = at[ok], key[ok]
-        pairs = np.unique(np.stack([own[at], key], axis=1), axis=0)
-        if len(pairs):
-            yield kind, pairs[:, 0], pairs[:, 1]
+            whole = begins[at] & (mine[at] == kind)
+            if whole.any():
+                fine = ~whole
+                at_whole = np.flatnonzero(whole)
+                fine[at_whole[_there(shared, key[at_whole])]] = True
+                at, key = at[fine], key[fine]
+        if not len(at):
+            continue
+        end = np.minimum(at + 2 * kind, offs[1:][own[at]]) - (begins[at] & (left[at] <= 2 * kind))
+        if kind <= 4:  # the bytes as a number, with their count
+            word = np.zeros(len(at), np.uint64)
+            for k in range(2 * kind):
+                there = at + k < end
+                word[there] |= buf[at[there] + k].astype(np.uint64) << np.uint64(8 * k)
+            once = np.unique(np.stack([word, (end - at).astype(np.uint64)]), axis=1, return_index=True)[1]
+            at, key, end = at[once], key[once], end[once]
+        first: dict[int, bytes] = {}
+        seen: set[bytes] = set()
+        keys, out, size = [], [], 0
+        for p, q, k in zip(at.tolist(), end.tolist(), key.tolist()):
+            s = raw[p:q]
+            before = first.get(k)
+            if before is not None and (before.startswith(s) or s in seen):
+                continue
+            if before is None or len(s) > len(before):
+                first[k] = s
+            seen.add(s)
+            keys.append(k)
+            out.append(s)
+            size += len(s) + 16
+            if size > CHUNK_BYTES:
+                yield kind, keys, out
+                keys, out, size = [], [], 0
+                seen.clear()
+        if out:
+            yield kind, keys, out
 
 
 def _slices(batch: pa.RecordBatch, limit: int = 1 << 21) -> Iterator[pa.RecordBatch]:
@@ -128,51 +208,43 @@ def _slices(batch: pa.RecordBatch, limit: int = 1 << 21) -> Iterator[pa.RecordBa
 def drop_infixes(lines: DataFrame, order: list[str], line: str = "line", limit: int = BROADCAST_BYTES) -> DataFrame:
     """(line, first): the distinct lines that no other line contains, with the least ``order`` of each.
 
-    A line can only be contained in one that holds its key (see ``line_keys``): lines
-    meet by an equi-join on keys, whose number falls with the length of the lines
-    asked for, and only then is it looked for the whole line.  Keys are broadcast to
-    thin out what is sent if they take at most ``limit`` bytes, else semi-joined.  Empty
-    and null lines never stay.
+    Of a line of 2^k to 2^(k+1) - 1 bytes the first 2^k are its key.  Where a line has the key
+    of another inside, it sends the 2^(k+1) bytes from there on; these are cut to the lengths that
+    lines with this key have, and a line that equals such a part goes.  So nothing is sent
+    for pairs of lines: what is sent grows with the places where a line's first half stands.
+    Places are thinned out by a broadcast filter of keys of at most ``limit`` bytes, or not at all
+    if that is 0.  Empty and null lines never stay.
     """
     distinct = lines.filter(F.length(line) > 0).groupBy(F.col(line).alias("line")).agg(F.min(F.struct(*order)).alias("first"))
     distinct = cut(distinct)
-    named = cut(distinct.select(F.monotonically_increasing_id().alias("id"), "line"))
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for b in _slices(batch):
-                kind, key = line_keys(b.column("line"))
-                yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(kind.astype(np.int64)), pa.array(key)], ["id", "kind", "key"])
+                kind, key, n = line_keys(b.column("line"))
+                yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(key), pa.array(n)], ["kind", "key", "n"])
 
-    keys = cut(named.mapInArrow(own, "id long, kind long, key long"))
-    kinds = sorted(r[0] for r in keys.select("kind").distinct().collect())
+    each = distinct.select("line").mapInArrow(own, "kind long, key long, n long")
+    keys = cut(each.groupBy("kind", "key").agg(F.count("*").alias("lines"), F.collect_set("n").alias("lengths")))
+    kinds = {r[0]: r[1] for r in keys.groupBy("kind").count().collect()}
     if not kinds:
         return distinct
-    wanted = keys.select("kind", "key").distinct()
-    shared = None
-    if 16 * wanted.count() <= limit:
-        t = wanted.toArrow()
-        kind, key = t.column("kind").to_numpy(), t.column("key").to_numpy()
-        shared = lines.sparkSession.sparkContext.broadcast({k: np.sort(key[kind == k]) for k in kinds})
+    wanted = shared = None
+    if limit:
+        size = 1 << (min(max(sum(kinds.values()) * FILTER_BITS // 8, 128), limit).bit_length() - 1)
+        make = lambda df: lines.sparkSession.sparkContext.broadcast(_key_filter(df.select("key"), size))
+        wanted, shared = make(keys), make(keys.filter("lines > 1"))
 
     def hold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        filters = (None, None) if wanted is None else (wanted.value, shared.value)
         for batch in batches:
             for b in _slices(batch):
-                for kind, row, key in held_keys(b.column("line"), kinds, None if shared is None else shared.value):
+                for kind, key, out in snippets(b.column("line"), sorted(kinds), *filters):
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(row), kind)), pa.array(key), b.column("id").take(pa.array(row))], ["kind", "key", "holder"]
+                        [pa.array(np.full(len(key), kind)), pa.array(key, pa.int64()), pa.array(out, pa.binary())], ["kind", "key", "part"]
                     )
 
-    holders = named.mapInArrow(hold, "kind long, key long, holder long")
-    if shared is None:
-        holders = holders.join(wanted, ["kind", "key"], "left_semi")
-    holders = cut(holders)
-    # a short line is its key, and holders are longer, so that they hold it is all there is to know
-    short = keys.join(holders.filter(F.col("kind") < GRAM).select("kind", "key").distinct(), ["kind", "key"], "left_semi").select("id")
-    pairs = keys.filter(F.col("kind") >= GRAM).join(holders, ["kind", "key"]).filter("id <> holder").select("id", "holder").distinct()
-    long = (
-        pairs.join(named, "id").join(named.select(F.col("id").alias("holder"), F.col("line").alias("body")), "holder")
-        .filter("contains(body, line)").select("id")
-    )
-    inside = named.join(short.unionByName(long).distinct(), "id", "left_semi").select("line")
-    return distinct.join(inside, "line", "left_anti")
+    held = distinct.select("line").mapInArrow(hold, "kind long, key long, part binary")
+    parts = held.join(keys.select("kind", "key", "lengths"), ["kind", "key"]).select("part", F.explode("lengths").alias("n"))
+    inside = parts.filter("n <= octet_length(part)").select(F.substring("part", F.lit(1), F.col("n").cast("int")).alias("part")).distinct()
+    return distinct.join(inside, F.col("line").cast("binary") == F.col("part"), "left_anti")

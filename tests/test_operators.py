@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
 from lexmill.operators import bloom, enumerate as ids, layout, match, pairs, profile
@@ -109,6 +110,24 @@ def test_contained_lines_equal_brute_force(spark, limit):
     assert pairs.drop_infixes(df.limit(0), ["k"]).count() == 0
 
 
+def test_lines_of_few_words_send_little():
+    """Lines that share their grams but not their first halves meet at no place: what is sent doesn't grow with pairs of lines."""
+    import pyarrow as pa
+
+    r = random.Random(5)
+    words = ["".join(r.choices("abcdefgh", k=9)) for _ in range(20)]
+    lines = pa.array(sorted({" ".join(r.choices(words, k=r.randrange(8, 40))) for _ in range(3000)} | {"z" * 3000}))
+    kind, key, n = pairs.line_keys(lines)
+    assert ((kind <= n) & (n < 2 * kind)).all()
+    held = np.zeros(1 << 17, np.uint8)
+    for k in range(pairs.FILTER_HASHES):
+        at = pairs._place(key, k, 20)
+        np.bitwise_or.at(held, at >> 3, np.left_shift(1, at & 7).astype(np.uint8))
+    none = np.zeros(1 << 17, np.uint8)
+    sent = [len(s) for _, _, out in pairs.snippets(lines, sorted(set(kind.tolist())), held, none) for s in out]
+    assert sum(sent) < 0.2 * n.sum()
+
+
 def test_distance_matrix_leaves_out_blank_lines(spark):
     a = spark.createDataFrame([("  kitten",), (" \t",)], "line string")
     b = spark.createDataFrame([("sitting",), ("",), ("kit ",)], "line string")
