@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..runtime import in_slices
+
 _BLANK = " \t\n\x0b\f\r"
 _ESCAPES = {"a": "\a", "b": "\b", "f": "\f", "n": "\n", "r": "\r", "t": "\t", "v": "\v", "\\": "\\"}
 
@@ -73,7 +75,7 @@ def unwrap(df: DataFrame, text: str = "text") -> DataFrame:
     def run(texts: pa.Array) -> pa.Array:
         return pa.array([None if t is None else "".join(x + "\n" for x in unwrapped(text_lines(t))) for t in texts.to_pylist()], pa.string())
 
-    return df.withColumn(text, F.arrow_udf(run, "string")(F.col(text)))
+    return df.withColumn(text, F.arrow_udf(lambda texts: in_slices(run, texts), "string")(F.col(text)))
 
 
 def gaps(line: str, delim: str) -> list[tuple[int, int]]:
@@ -154,7 +156,7 @@ def split_columns(df: DataFrame, delim: str = " ", mode: str = "running", text:
         return pa.array(rows, pa.list_(pa.list_(pa.string())))
 
     others = [c for c in df.columns if c not in (text, "line_no", "fields")]
-    split = df.select(*others, F.posexplode(F.arrow_udf(run, "array<array<string>>")(F.col(text))).alias("k", "fields"))
+    split = df.select(*others, F.posexplode(F.arrow_udf(lambda texts: in_slices(run, texts), "array<array<string>>")(F.col(text))).alias("k", "fields"))
     return split.select(*others, (F.col("k") + 1).cast("bigint").alias("line_no"), "fields")
 
 

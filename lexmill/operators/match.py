@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import checked_broadcast
+from ..runtime import checked_broadcast, in_slices
 from ..sources.patterns import Pattern
 
 #: Patterns that become expressions; more go to the automaton.
@@ -109,7 +109,7 @@ def _by_automaton(text: Column, patterns: list[Pattern], wide: bool, mode: str)
         rows = [[{"idx": k, "n": n} for k, n in sorted(held[0].count(t).items())] for t in texts.to_pylist()]
         return pa.array(rows, pa.list_(pa.struct([("idx", pa.int32()), ("n", pa.int64())])))
 
-    return F.arrow_udf(count, _HITS)(text)
+    return F.arrow_udf(lambda texts: in_slices(count, texts), _HITS)(text)
 
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +15,22 @@ BROADCAST_BYTES = 64 << 20
 #: Bytes that a core reads as one task.
 SPLIT_BYTES = 128 << 20
 
+#: Bytes of texts that Python takes apart at once.
+SLICE_BYTES = 1 << 20
+
+
+def in_slices(run: Callable, *columns: pa.Array, limit: int = SLICE_BYTES) -> pa.Array:
+    """``run`` of columns of texts, local to a row, by slices of about ``limit`` bytes, so that its objects don't grow with the batch."""
+    n = len(columns[0])
+    total = sum(pc.fill_null(pc.binary_length(c), 0).to_numpy(zero_copy_only=False).astype("int64") for c in columns).cumsum()
+    out, at = [], 0
+    while at < n:
+        base = total[at - 1] if at else 0
+        end = max(at + 1, int(total.searchsorted(base + limit, side="right")))
+        out.append(run(*[c.slice(at, end - at) for c in columns]))
+        at = end
+    return pa.concat_arrays(out) if out else run(*columns)
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``; where it is unset, a new one in local mode, an error on a cluster."""

@@ -154,6 +154,19 @@ def test_columns():
         layout.column_fields(["a"], mode="other")
 
 
+def test_texts_are_taken_apart_in_slices():
+    import pyarrow as pa
+
+    from lexmill.runtime import in_slices
+
+    seen = []
+    run = lambda a, b: seen.append(len(a)) or pa.array([(x or "") + (y or "") for x, y in zip(a.to_pylist(), b.to_pylist())])
+    a, b = pa.array(["x" * 40, None, "y", "z" * 500, ""]), pa.array([None, "é", "", "q", "w"])
+    want = [(x or "") + (y or "") for x, y in zip(a.to_pylist(), b.to_pylist())]
+    assert in_slices(run, a, b, limit=50).to_pylist() == want and seen == [3, 1, 1]
+    assert in_slices(run, a[1:], b[1:]).to_pylist() == want[1:] and len(in_slices(run, a[:0], b[:0])) == 0
+
+
 def test_pages_lines_and_output(spark):
     docs = spark.createDataFrame([(1, "\fone\f\ntwo\f\f"), (2, None), (3, "")], "doc_id long, text string")
     assert [(r.page_no, r.text) for r in layout.pages(docs).collect()] == [(2, "one"), (3, "two")]
