@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..runtime import in_slices
+
 _PAIRS = 4096
 
 
@@ -67,7 +70,7 @@ def osa_distance(a: Column | str, b: Column | str, trnsp: int = 1, subst: int =
         return pa.array(d, pa.int32(), mask=~np.array(fine, bool))
 
     cols = [F.col(c) if isinstance(c, str) else c for c in (a, b)]
-    return F.arrow_udf(distance, "int")(*cols)
+    return F.arrow_udf(lambda x, y: in_slices(distance, x, y), "int")(*cols)
 
 
 _FOLD = np.zeros(256, np.int64)
@@ -83,35 +86,49 @@ _PLAIN[32:96] = np.arange(64)
 _PLAIN[96:128] = np.arange(32, 64)
 
 
-def _hashes(s: np.ndarray, q: int) -> np.ndarray:
-    """Hash of the gram at each place that has ``q`` bytes before the end of the text."""
-    n = len(s) - q + 1
-    if n <= 0:
-        return np.zeros(0, np.int64)
+def _raw(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, offsets) of texts; null is empty."""
+    arr = pc.fill_null(texts.cast(pa.large_binary()), b"")
+    offs = np.frombuffer(arr.buffers()[1], np.int64)[arr.offset : arr.offset + len(arr) + 1]
+    raw = arr.buffers()[2]
+    return np.frombuffer(raw, np.uint8)[offs[0] : offs[-1]] if raw is not None else np.zeros(0, np.uint8), offs - offs[0]
+
+
+def _hashes(buf: np.ndarray, offs: np.ndarray, q: int, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, hash) of the gram at each place of the ``rows`` that has ``q`` bytes before the end of its text."""
+    n = np.diff(offs)
+    own = np.repeat(np.arange(len(n)), n)
+    at = np.flatnonzero(rows[own] & (offs[1:][own] - np.arange(len(buf)) >= q))
     if q == 2:
-        c = _PLAIN[s]
-        return (c[:-1] << 4) ^ c[1:]
-    code = _FOLD[s]
-    held = np.flatnonzero(code)
-    code = code[held]
-    first = np.searchsorted(held, np.arange(n))  # the first byte with a code from each place on
-    out = np.zeros(n, np.int64)
+        c = _PLAIN[buf]
+        return own[at], (c[at] << 4) ^ c[at + 1]
+    code = _FOLD[buf]
+    before = np.append(0, np.cumsum(code != 0))  # bytes with a code before each place
+    code = code[code != 0]
+    first, last = before[at], before[offs[1:]][own[at]]
+    out = np.zeros(len(at), np.int64)
     for k in range(5):
-        at = first + k
-        there = at < len(code)
-        out[there] = (out[there] << 3) ^ code[at[there]]
-    return out
+        there = first + k < last
+        out[there] = (out[there] << 3) ^ code[first[there] + k]
+    return own[at], out
+
+
+def qgram_batch(a: pa.Array, b: pa.Array) -> np.ndarray:
+    """Of each pair the share of b's grams whose hash is among a's, of the grams of the shorter text (so it may exceed 1); FLOAT."""
+    (x, xo), (y, yo) = _raw(a), _raw(b)
+    least = np.minimum(np.diff(xo), np.diff(yo))
+    shared = np.zeros(len(a), np.int64)
+    for q, rows in ((2, (least >= 2) & (least < 5)), (5, least >= 5)):
+        if rows.any():
+            mine, theirs = ((row << 20) | h for row, h in (_hashes(x, xo, q, rows), _hashes(y, yo, q, rows)))
+            shared += np.bincount(theirs[np.isin(theirs, mine, kind="sort")] >> 20, minlength=len(a))
+    grams = np.where(least < 5, least - 1, least - 4)
+    return np.where(least < 2, np.float32(0), shared.astype(np.float32) / np.maximum(grams, 1).astype(np.float32))
 
 
 def qgram_similarity(a: bytes, b: bytes) -> float:
-    """Share of b's grams whose hash is among a's, of the grams of the shorter text (so it may exceed 1)."""
-    least = min(len(a), len(b))
-    if least < 2:
-        return 0.0
-    q = 2 if least < 5 else 5
-    mine = np.unique(_hashes(np.frombuffer(a, np.uint8), q))
-    theirs = _hashes(np.frombuffer(b, np.uint8), q)
-    return float(np.float32(np.isin(theirs, mine).sum()) / np.float32(least - q + 1))
+    """``qgram_batch`` of one pair."""
+    return float(qgram_batch(pa.array([a], pa.binary()), pa.array([b], pa.binary()))[0])
 
 
 def qgram_score(a: Column | str, b: Column | str) -> Column:
@@ -121,8 +138,7 @@ def qgram_score(a: Column | str, b: Column | str) -> Column:
     """
 
     def score(x: pa.Array, y: pa.Array) -> pa.Array:
-        out = [None if p is None or q is None else qgram_similarity(p.encode(), q.encode()) for p, q in zip(x.to_pylist(), y.to_pylist())]
-        return pa.array(out, pa.float32())
+        return pa.array(qgram_batch(x, y), pa.float32(), mask=pc.or_(x.is_null(), y.is_null()).to_numpy(zero_copy_only=False))
 
     cols = [F.col(c) if isinstance(c, str) else c for c in (a, b)]
-    return F.arrow_udf(score, "float")(*cols)
+    return F.arrow_udf(lambda x, y: in_slices(score, x, y), "float")(*cols)

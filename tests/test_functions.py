@@ -74,3 +74,14 @@ def test_stems(spark):
     assert {w: porter(w) for w in known} == known
     df = spark.createDataFrame([("cats",), (None,), ("cats",)], "w string")
     assert [r[0] for r in df.select(stem("w")).collect()] == ["cat", None, "cat"]
+
+
+def test_qgram_scores_of_a_batch():
+    import pyarrow as pa
+
+    from lexmill.functions.pairs import qgram_batch
+
+    r = random.Random(8)
+    a, b = (["".join(r.choices("ab1 O0-é.", k=r.randrange(12))) for _ in range(300)] for _ in range(2))
+    got = qgram_batch(pa.array(["skipped", *a])[1:], pa.array(b))
+    assert got.tolist() == pytest.approx([slow_qgram(x.encode(), y.encode()) for x, y in zip(a, b)], rel=1e-6)
