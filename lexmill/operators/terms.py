@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.tokens import fast_tokens, ngram_array, tokens
-from ..runtime import free_name, numbered
+from ..runtime import cut, free_name, numbered
 
 
 def _rows(df: DataFrame, array, name: str) -> DataFrame:
@@ -44,6 +44,23 @@ def doc_freq(rows: DataFrame, doc_id: str = "doc_id", term: str = "term") -> Dat
     return rows.groupBy(F.col(term).alias("term")).agg(F.countDistinct(doc_id).alias("n"))
 
 
+def doc_freq_of(df: DataFrame, doc_id: str = "doc_id", text: str = "text", unicode: str = "full", normal: bool = False) -> DataFrame:
+    """``doc_freq`` of the terms of texts: each text gives its distinct terms, so that a task holds terms and not pairs.
+
+    Only of ids that several rows have are the pairs counted; a null id counts as none.
+    """
+    each = df.select(F.col(doc_id).alias("doc_id"), F.array_distinct(tokens(text, unicode, normal)).alias("t"))
+    ids = df.filter(F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("doc_id"))
+    several = cut(ids.agg(F.count("*").alias("n")).filter("n > 1").select("doc_id"))
+    single, pairs = each, None
+    if not several.isEmpty():
+        single = each.join(several, "doc_id", "left_anti")
+        pairs = each.join(several, "doc_id", "left_semi").select("doc_id", F.explode("t").alias("term")).distinct()
+    rows = single.select("doc_id", F.explode("t").alias("term"))
+    rows = rows if pairs is None else rows.unionByName(pairs)
+    return rows.groupBy("term").agg(F.count("doc_id").alias("n"))
+
+
 def tf_ratio(tf: DataFrame, corpus: DataFrame, digits: int = 6) -> DataFrame:
     """(term, ratio) of the terms that both (term, n) tables have: n here by n there."""
     c = corpus.select("term", F.col("n").alias("corpus_n"))

@@ -96,11 +96,11 @@ SELECT ngram, count(*) AS n FROM (
 
 
 def a3_doc_freq(spark, d):
-    return terms.doc_freq(terms.terms(docs(spark, d)))
+    return terms.doc_freq_of(docs(spark, d))
 
 
 def o1_sorted_doc_freq(spark, d):
-    return terms.in_order(terms.doc_freq(terms.terms(docs(spark, d))), "term").select("place", "term", "n")
+    return terms.in_order(terms.doc_freq_of(docs(spark, d)), "term").select("place", "term", "n")
 
 
 def o2_sorted_ratio(spark, d):

@@ -154,6 +154,16 @@ def test_columns():
         layout.column_fields(["a"], mode="other")
 
 
+def test_document_frequencies_of_texts(spark):
+    from lexmill.operators import terms
+
+    df = spark.createDataFrame([(1, "a a b"), (2, "a c"), (2, "c d"), (2, "c d"), (None, "e a"), (3, None)], "doc_id long, text string")
+    got = terms.doc_freq_of(df)
+    assert {tuple(r) for r in got.collect()} == {tuple(r) for r in terms.doc_freq(terms.terms(df)).collect()} == {("a", 2), ("b", 1), ("c", 1), ("d", 1), ("e", 0)}
+    plan = terms.doc_freq_of(df.filter("doc_id < 2"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate") == 1  # no pairs of term and document
+
+
 def test_texts_are_taken_apart_in_slices():
     import pyarrow as pa
 
