@@ -175,7 +175,7 @@ def s6_columns(spark, d):
 
 
 def k1_render_terms(spark, d):
-    return source.render_terms(terms.terms(docs(spark, d)))
+    return source.render_texts(docs(spark, d))
 
 
 def k4_render_ids(spark, d):

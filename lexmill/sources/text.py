@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.tokens import tokens
+
 STDIN = "<stdin>"
 
 
@@ -53,6 +55,12 @@ def render_terms(rows: DataFrame, doc_id: str = "doc_id", term: str = "term", se
     return listed.select(doc_id, body.alias("text"))
 
 
+def render_texts(df: DataFrame, doc_id: str = "doc_id", text: str = "text", separator: bool = True) -> DataFrame:
+    """(doc_id, text): as ``render_terms`` of the terms of each text, a row for each row that has any; local to a row."""
+    found = df.select(doc_id, tokens(text).alias("t")).filter(F.size("t") > 0)
+    return found.select(doc_id, F.concat(F.array_join("t", "\n"), F.lit("\n\f\n" if separator else "\n")).alias("text"))
+
+
 def render_matches(report: DataFrame, counts: bool = True) -> DataFrame:
     """(value): the rows of a match report as lines with tabs."""
     cols = ["label", F.col("n").cast("string"), "doc_id"] if counts else ["label", "doc_id"]

@@ -164,6 +164,23 @@ def test_document_frequencies_of_texts(spark):
     assert plan.count("Aggregate") == 1  # no pairs of term and document
 
 
+def test_rendered_texts_are_local_to_a_row(spark):
+    df = spark.createDataFrame([(1, "a b"), (1, "c, d!"), (2, "!"), (3, None)], "doc_id long, text string")
+    got = source.render_texts(df)
+    assert sorted(tuple(r) for r in got.collect()) == [(1, "a\nb\n\f\n"), (1, "c\nd\n\f\n")]
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_ngrams_are_cut_by_one_pattern(spark):
+    from lexmill.operators import terms
+
+    df = spark.createDataFrame([(1, "a b, c a b"), (2, "d"), (3, None), (4, "")], "doc_id long, text string")
+    for n, want in ((1, ["a", "b", "c", "a", "b", "d"]), (2, ["a b", "b c", "c a", "a b"]), (5, ["a b c a b"]), (6, [])):
+        got = terms.ngrams(df, n)
+        assert [r.ngram for r in got.orderBy("doc_id", "pos").collect()] == want
+        assert "lambda" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_texts_are_taken_apart_in_slices():
     import pyarrow as pa
 
