@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.pairs import osa_distance, qgram_score
 from ..operators import bloom, match, pairs, terms
+from ..runtime import cut
 from ..sources import text as source
 from ..sources.patterns import Pattern, parse_patterns, patterns_df
 from ..streaming import state as streams
@@ -181,7 +182,7 @@ def a11_bloom_info(spark, d):
 
 
 def a6_bloom_merge(spark, d):
-    rows, more = terms.terms(items(spark, d)).select("term"), terms.terms(docs(spark, d)).select("term")
+    rows, more = (cut(terms.terms(t).select("term").distinct()) for t in (items(spark, d), docs(spark, d)))
     params = bloom.bloom_params(capacity=max(rows.union(more).distinct().count(), 1), p=_P, k=_K)
     both = bloom.bloom_add(bloom.bloom_build(rows, "term", params), more, "term")
     return bloom.bloom_info(both).select("k", "count")
