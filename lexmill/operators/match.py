@@ -31,7 +31,8 @@ def pattern_regex(p: Pattern, non_ascii_wordsep: bool = False) -> str:
     left = "" if p.left else f"(?<!{word})"
     right = "" if p.right else f"(?!{word})"
     body = "\\Q" + p.pattern.replace("\\E", "\\E\\\\E\\Q") + "\\E"
-    return f"{left}(?={'(?i)' if p.ci else ''}{body}{right})"
+    # what is seldom there comes first: the word, then what is before it
+    return f"(?={'(?i)' if p.ci else ''}{body}{right}){left}"
 
 
 class Matcher:
