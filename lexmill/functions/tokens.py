@@ -17,7 +17,7 @@ _WIDE = r"\x{80}-\x{10ffff}"
 
 
 def term_regex(unicode: str = "full") -> str:
-    """Terms: a letter or digit, then letters, digits and inner signs up to the last letter or digit.
+    """Terms: a letter or digit, then letters, digits and inner signs up to the last letter or digit; U+FFFD is as a blank.
 
     ``unicode='compat'`` leaves out ideographs, Hangul and all beyond the basic plane.
     """
@@ -25,7 +25,7 @@ def term_regex(unicode: str = "full") -> str:
         raise ValueError("unicode is 'full' or 'compat'")
     less = _OUTSIDE if unicode == "compat" else ""
     edge = rf"[[\p{{L}}\p{{N}}]{less}]"
-    inner = rf"[[\p{{L}}\p{{N}}{INNER}[[^\x00-\x7f]&&[\p{{P}}\p{{S}}]]]{less}]"
+    inner = rf"[[\p{{L}}\p{{N}}{INNER}[[^\x00-\x7f\x{{fffd}}]&&[\p{{P}}\p{{S}}]]]{less}]"
     return f"{edge}(?:{inner}*{edge})?"
 
 
@@ -35,8 +35,7 @@ def _column(c: Column | str) -> Column:
 
 def tokens(text: Column | str, unicode: str = "full", normal: bool = False) -> Column:
     """Array of the terms of a text, in order; null for a null text."""
-    clean = F.translate(_column(text), "�", " ")
-    found = F.regexp_extract_all(clean, F.lit(term_regex(unicode)), F.lit(0))
+    found = F.regexp_extract_all(_column(text), F.lit(term_regex(unicode)), F.lit(0))
     return F.transform(found, normal_form) if normal else found
 
 

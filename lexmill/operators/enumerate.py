@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import BROADCAST_BYTES, cut, free_name, numbered
 
 #: A term of so large a share of all rows is looked up without a shuffle.
 SHARE = 1e-4
+#: Beside these the most frequent terms are, up to so many bytes.
+FREQUENT_BYTES = 16 << 20
+#: Of a pair of whole numbers held as one, the second has so many bits.
+PAIR_BITS = 24
 
 
 def new_state(spark) -> DataFrame:
@@ -16,20 +20,46 @@ def new_state(spark) -> DataFrame:
     return spark.createDataFrame([], "term string, id bigint")
 
 
+def _as_one(df: DataFrame, order: list[str]) -> Column | None:
+    """The columns ``order``, one or two of whole numbers, as one in the same order; null where they don't fit, None for others.
+
+    The first row of a term is then found by hashing; a struct would have all rows sorted.
+    """
+    kinds = [kind for _, kind in df.select(*order).dtypes]
+    if len(order) > 2 or any(k not in ("tinyint", "smallint", "int", "bigint") for k in kinds):
+        return None
+    a, *b = [F.col(c).cast("bigint") for c in order]
+    if not b:
+        return a
+    most = 1 << (63 - PAIR_BITS)
+    return F.when(a.between(-most, most - 1) & b[0].between(0, (1 << PAIR_BITS) - 1), F.shiftleft(a, PAIR_BITS).bitwiseOR(b[0]))
+
+
+def _entries(df: DataFrame, order: list[str], term: str, state: DataFrame | None) -> DataFrame:
+    """(term, id, n) of the terms of ``df`` that aren't in the dictionary, with their rows in ``df``; kept in the shared folder."""
+    rows = df.filter(F.col(term).isNotNull()).groupBy(F.col(term).alias("term"))
+    start = 1 if state is None else (state.agg(F.max("id")).first()[0] or 0) + 1
+
+    def placed(first: Column, fit: Column) -> DataFrame:
+        found = rows.agg(F.min(first).alias("first"), F.count("*").alias("n"), F.count(fit).alias("fit"))
+        if state is not None:
+            found = found.join(state.select("term"), "term", "left_anti")
+        return numbered(found, ["first", "term"], "id", start)
+
+    one = _as_one(df, order)
+    got = None if one is None else placed(one, one)
+    if got is None or not got.filter("fit < n").isEmpty():
+        got = placed(F.struct(*order), F.lit(1))
+    return got.select("term", "id", "n")
+
+
 def new_entries(df: DataFrame, order: list[str], term: str = "term", state: DataFrame | None = None) -> DataFrame:
     """(term, id) of the terms of ``df`` that aren't in the dictionary; their ids follow its greatest.
 
     Null terms get no id.  One shuffle finds where terms first appear; numbering is by
     ranges, so no task sees the whole dictionary.
     """
-    first = df.filter(F.col(term).isNotNull()).groupBy(F.col(term).alias("term")).agg(
-        F.min(F.struct(*order)).alias("first")
-    )
-    start = 1
-    if state is not None:
-        start = (state.agg(F.max("id")).first()[0] or 0) + 1
-        first = first.join(state.select("term"), "term", "left_anti")
-    return numbered(first, ["first", "term"], "id", start).select("term", "id")
+    return _entries(df, order, term, state).select("term", "id")
 
 
 def extend_state(df: DataFrame, order: list[str], term: str = "term", state: DataFrame | None = None) -> DataFrame:
@@ -38,20 +68,23 @@ def extend_state(df: DataFrame, order: list[str], term: str = "term", state: Dat
     return added if state is None else state.select("term", "id").unionByName(added)
 
 
-def look_up(df: DataFrame, state: DataFrame, term: str = "term", missing: int | None = 0) -> DataFrame:
+def look_up(df: DataFrame, state: DataFrame, term: str = "term", missing: int | None = 0, counts: DataFrame | None = None) -> DataFrame:
     """``df`` with the ids of its terms; unknown terms get ``missing``.
 
     A dictionary that is checked to be small is broadcast, and rows stay where they are.
-    For a larger one the frequent terms, which would fill a task each, get their ids from a
-    broadcast table of their own, and only the others are shuffled.
+    For a larger one the frequent terms, which would fill a task each and are nearly all rows,
+    get their ids from a broadcast table of their own, and only the others are shuffled.
+    ``counts``: (term, n) of the rows of ``df``, if they are known.
     """
     known = state.select(F.col("term").alias(term), "id")
     rows = df.drop("id")
-    size = known.agg(F.coalesce(F.sum(F.octet_length(term) + 24), F.lit(0))).first()[0]
+    size = known.agg(F.coalesce(F.sum(_bytes(term)), F.lit(0))).first()[0]
     if size <= BROADCAST_BYTES:
         got = rows.join(F.broadcast(known), term, "left")
     else:
-        frequent = F.broadcast(_frequent(rows, known, term))
+        if counts is None:
+            counts = cut(rows.groupBy(F.col(term).alias("term")).agg(F.count("*").alias("n")))
+        frequent = F.broadcast(_frequent(counts).withColumnRenamed("term", term).join(known, term))
         often = free_name(rows, "often")
         marked = rows.join(frequent.withColumnRenamed("id", often), term, "left")
         rest = marked.filter(F.col(often).isNull()).drop(often).join(known, term, "left")
@@ -59,11 +92,26 @@ def look_up(df: DataFrame, state: DataFrame, term: str = "term", missing: int |
     return got if missing is None else got.withColumn("id", F.coalesce("id", F.lit(missing).cast("bigint")))
 
 
-def _frequent(rows: DataFrame, known: DataFrame, term: str) -> DataFrame:
-    """(term, id) of known terms with a share of SHARE of all rows: 1 / SHARE at most."""
-    counts = cut(rows.groupBy(term).agg(F.count("*").alias("n")))
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    return counts.filter(F.col("n") >= max(total * SHARE, 1)).select(term).join(known, term)
+def _bytes(term: str) -> Column:
+    return F.octet_length(term) + 24
+
+
+def _frequent(counts: DataFrame) -> DataFrame:
+    """(term) of (term, n): those with a share of SHARE of all rows, 1 / SHARE at most, and the next as long as all take FREQUENT_BYTES.
+
+    They are told by their n; only sums for each of its steps, a few hundred, meet on the driver.
+    """
+    step = F.floor(F.log2("n") * 8)
+    steps = counts.filter(F.col("term").isNotNull()).groupBy(step.alias("step")).agg(
+        F.min("n").alias("least"), F.sum(_bytes("term")).alias("bytes"), F.sum("n").alias("n")
+    ).orderBy(F.desc("step")).collect()
+    least, held = max(sum(s["n"] for s in steps) * SHARE, 1), 0
+    for s in steps:
+        held += s["bytes"]
+        if held > min(FREQUENT_BYTES, BROADCAST_BYTES):
+            break
+        least = min(least, s["least"])
+    return counts.filter(F.col("n") >= least).select("term")
 
 
 def enumerate_terms(
@@ -73,6 +121,10 @@ def enumerate_terms(
     if not extend:
         state = new_state(df.sparkSession) if state is None else state
         return look_up(df, state, term), state
+    if state is None:
+        entries = _entries(df, order, term, None)
+        state = entries.select("term", "id")
+        return look_up(df, state, term, counts=entries.select("term", "n")), state
     state = cut(extend_state(df, order, term, state))
     return look_up(df, state, term), state
 

@@ -263,3 +263,32 @@ def test_bloom_queries_size_their_filters_by_the_terms(spark, tmp_path, monkeypa
     assert matching.a10_bloom_hit_rate(spark, d).first().hits == 1
     assert tuple(matching.a6_bloom_merge(spark, d).first()) == (30, 7)
     assert asked == [5, 5, 5, 7]
+
+
+def test_first_rows_are_found_by_hashing(spark, monkeypatch):
+    rows = [(d, p, f"t{(d * 7 + p * 3) % 11}") for d in range(-6, 6) for p in range(9)]
+    far = [(1 << 50, 0, "far"), (None, 1, "t3"), (2, 1 << 25, "late"), (1 << 50, 1, "t4")]
+    for extra in ([], far[:1], far[1:2], far[2:3], far):
+        df = spark.createDataFrame(rows + extra, "d long, p int, term string")
+        key = lambda r: tuple((x is not None, x or 0) for x in r[:2])
+        want = {t: k for k, t in enumerate(dict.fromkeys(r[2] for r in sorted(rows + extra, key=key)), 1)}
+        assert {r.term: r.id for r in ids.extend_state(df, ["d", "p"]).collect()} == want
+    planned = []
+    monkeypatch.setattr(ids, "numbered", lambda df, *_: planned.append(df._jdf.queryExecution().executedPlan().toString()) or df.withColumn("id", df["n"]))
+    ids.extend_state(spark.createDataFrame(rows, "d long, p int, term string"), ["d", "p"])
+    assert len(planned) == 1 and "SortAggregate" not in planned[0]
+
+
+def test_most_rows_are_looked_up_without_a_shuffle(spark, monkeypatch):
+    monkeypatch.setattr(ids, "BROADCAST_BYTES", 400)
+    rows = [(k, f"w{n:02}") for n in range(40) for k in range(n * n * 10, n * n * 10 + (40 - n) * 2)]
+    df = spark.createDataFrame(rows, "k int, term string")
+    counts = df.groupBy("term").count().withColumnRenamed("count", "n")
+    monkeypatch.setattr(ids, "SHARE", 1.0)
+    often = {r.term for r in ids._frequent(counts).collect()}
+    assert 5 <= len(often) <= 400 // 27 and often == {f"w{n:02}" for n in range(len(often))}
+    got, state = ids.enumerate_terms(df, ["k"])
+    known = {r.term: r.id for r in state.collect()}
+    assert sorted(tuple(r) for r in got.select("k", "term", "id").collect()) == sorted((k, t, known[t]) for k, t in rows)
+    monkeypatch.setattr(ids, "SHARE", 1e-9)
+    assert ids._frequent(counts).count() == 40
