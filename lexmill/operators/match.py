@@ -2,19 +2,21 @@
 
 Every pattern is counted for itself: each place where it stands with the boundaries
 it asks for, overlaps included.  A few patterns become regular expressions inside
-the JVM.  Of many, those that are one whole word are joined to the words of the text, also
-in the JVM; the others become one automaton that goes through the text once, in Arrow
+the JVM.  Of many, those that are one whole word are looked for among the words of the
+text, and the others become one automaton that goes through the text once, both in Arrow
 batches.
 """
 
 from __future__ import annotations
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import checked_broadcast, in_slices
+from ..runtime import BROADCAST_BYTES, checked_broadcast, in_slices
 from ..sources.patterns import Pattern
 
 #: Patterns that become expressions; more go to the automaton.
@@ -123,8 +125,43 @@ def is_word(p: Pattern, non_ascii_wordsep: bool) -> bool:
     return not (p.left or p.right) and not any(ord(c) in _SEPARATORS or (non_ascii_wordsep and ord(c) >= 0x80) for c in p.pattern)
 
 
-def _by_words(docs: DataFrame, text: str, doc_id: str, patterns: list[Pattern], wide: bool) -> DataFrame:
-    """(doc_id, idx, n) of whole words: the words of a text meet the patterns in a hash join, and a row's hits are summed."""
+def _by_words(text: Column, patterns: list[Pattern], wide: bool) -> Column:
+    """Hits of whole words, local to a row: the texts of a slice are split at once and their words looked up at once."""
+    tables = []
+    for ci in (False, True):
+        by: dict[str, list[int]] = {}
+        for p in patterns:
+            if p.ci == ci and p.pattern:
+                by.setdefault(p.pattern.translate(str.maketrans(_UPPER, _LOWER)) if ci else p.pattern, []).append(p.idx)
+        if by:
+            sizes = np.array([len(x) for x in by.values()])
+            tables.append((ci, list(by), sizes, np.cumsum(sizes) - sizes, np.array([k for x in by.values() for k in x], "int32")))
+    split = _SPLIT_WIDE if wide else _SPLIT
+
+    def count(texts: pa.Array) -> pa.Array:
+        lists = pc.split_pattern_regex(pc.fill_null(texts, ""), split)
+        row, words = pc.list_parent_indices(lists), pc.list_flatten(lists)
+        found = [(np.empty(0, "int64"), np.empty(0, "int32"), np.empty(0, "int64"))]
+        for ci, keys, sizes, starts, idx in tables:
+            code = pc.index_in(pc.ascii_lower(words) if ci else words, value_set=pa.array(keys, words.type))
+            there = pc.is_valid(code)
+            pairs = row.filter(there).to_numpy().astype("int64") * len(keys) + code.filter(there).to_numpy()
+            pairs, n = np.unique(pairs, return_counts=True)
+            r, c = np.divmod(pairs, len(keys))
+            each = sizes[c]  # a word may be that of several patterns
+            at = np.repeat(starts[c] - (np.cumsum(each) - each), each) + np.arange(each.sum())
+            found.append((np.repeat(r, each), idx[at], np.repeat(n, each)))
+        r, idx, n = (np.concatenate(x) for x in zip(*found))
+        order = np.lexsort((idx, r))
+        ends = np.concatenate([[0], np.bincount(r, minlength=len(texts)).cumsum()]).astype("int32")
+        hits = pa.StructArray.from_arrays([pa.array(idx[order], pa.int32()), pa.array(n[order], pa.int64())], ["idx", "n"])
+        return pa.ListArray.from_arrays(pa.array(ends), hits)
+
+    return F.arrow_udf(lambda texts: in_slices(count, texts), _HITS)(text)
+
+
+def _by_word_join(docs: DataFrame, text: str, doc_id: str, patterns: list[Pattern], wide: bool) -> DataFrame:
+    """(doc_id, idx, n) of more whole words than a task may hold: the words of a text meet the patterns in a join, and a row's hits are summed."""
     folded = any(p.ci for p in patterns)
     table = docs.sparkSession.createDataFrame(
         [(p.pattern.translate(str.maketrans(_UPPER, _LOWER)) if p.ci else p.pattern, p.ci, p.idx) for p in patterns], "word string, ci boolean, idx int"
@@ -147,9 +184,9 @@ def match_counts(
 
     Separators are control characters, blank, ``! " ' ( ) , - . : ; ?`` and the back
     quote, with ``non_ascii_wordsep`` also everything beyond ASCII.  Up to ``expressions``
-    patterns are row-local, as is the automaton; of more, whole words are joined to the
-    words of the texts unless ``words`` is off, and only their hits are shuffled.  Null and
-    empty texts have no hits.
+    patterns are row-local, as is the automaton; of more, whole words are looked for among
+    the words of the texts unless ``words`` is off, also row-local while they are few enough
+    to be broadcast.  Null and empty texts have no hits.
     """
     if mode not in ("independent", "scan"):
         raise ValueError("mode is 'independent' or 'scan'")
@@ -166,7 +203,11 @@ def match_counts(
         return rows.select("doc_id", "idx", F.element_at(names, F.col("idx")).alias("pattern"), F.element_at(labels, F.col("idx")).alias("yield"), "n")
     whole = [p for p in patterns if is_word(p, non_ascii_wordsep)] if words and mode == "independent" else []
     others = [p for p in patterns if p not in whole] if len(whole) < len(patterns) else []
-    rows = _by_words(docs, text, doc_id, whole, non_ascii_wordsep) if whole else None
+    rows = None
+    if whole and sum(len(p.pattern) * 4 + 24 for p in whole) <= BROADCAST_BYTES:
+        rows = found(_by_words(F.col(text), whole, non_ascii_wordsep))
+    elif whole:
+        rows = _by_word_join(docs, text, doc_id, whole, non_ascii_wordsep)
     if others or rows is None:
         scanned = found(_by_automaton(F.col(text), others or patterns, non_ascii_wordsep, mode))
         rows = scanned if rows is None else rows.unionByName(scanned)

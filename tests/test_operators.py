@@ -6,7 +6,7 @@ import pytest
 
 from lexmill.operators import bloom, enumerate as ids, layout, match, pairs, profile
 from lexmill.sources import text as source
-from lexmill.sources.patterns import parse_patterns, select_patterns
+from lexmill.sources.patterns import Pattern, parse_patterns, select_patterns
 
 
 def test_pattern_language():
@@ -292,3 +292,14 @@ def test_most_rows_are_looked_up_without_a_shuffle(spark, monkeypatch):
     assert sorted(tuple(r) for r in got.select("k", "term", "id").collect()) == sorted((k, t, known[t]) for k, t in rows)
     monkeypatch.setattr(ids, "SHARE", 1e-9)
     assert ids._frequent(counts).count() == 40
+
+
+def test_whole_words_are_counted_row_by_row(spark):
+    texts = ["The the, the;THE", None, "", "été the été! x" * 3, "nothing", "a\x00the\"the"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    patterns = [Pattern(5, "the"), Pattern(3, "THE", True), Pattern(9, "the", True), Pattern(4, "été"), Pattern(7, "absent"), Pattern(8, "the")]
+    for wide in (False, True):
+        got = match.match_counts(docs, patterns, expressions=0, non_ascii_wordsep=wide)
+        want = {(d, p.idx): n for d, t in enumerate(texts) for p in patterns if (n := slow_count(p, t or "", wide))}
+        assert {(r.doc_id, r.idx): r.n for r in got.collect()} == want and (0, 9) in want
+        assert "hashpartitioning" not in got._jdf.queryExecution().executedPlan().toString()
