@@ -303,3 +303,14 @@ def test_whole_words_are_counted_row_by_row(spark):
         want = {(d, p.idx): n for d, t in enumerate(texts) for p in patterns if (n := slow_count(p, t or "", wide))}
         assert {(r.doc_id, r.idx): r.n for r in got.collect()} == want and (0, 9) in want
         assert "hashpartitioning" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_ids_are_rendered_without_another_count_of_the_rows(spark, monkeypatch):
+    from lexmill.operators import terms
+
+    monkeypatch.setattr(ids, "BROADCAST_BYTES", 60)
+    monkeypatch.setattr(ids, "cut", None)
+    df = terms.terms(spark.createDataFrame([(2, "c a d"), (1, "a a b a"), (3, None)], "doc_id long, text string"))
+    got, _ = ids.enumerate_terms(df, ["doc_id", "pos"])
+    values = {(r.doc_id, r.pos): r.value for r in got.select("doc_id", "pos", source.render_id().alias("value")).collect()}
+    assert values == {(1, 0): "1", (1, 1): "1", (1, 2): "2", (1, 3): "1", (2, 0): "3", (2, 1): "1", (2, 2): "4"}
