@@ -13,6 +13,8 @@ SHARE = 1e-4
 FREQUENT_BYTES = 16 << 20
 #: Of a pair of whole numbers held as one, the second has so many bits.
 PAIR_BITS = 24
+#: Stands for whole numbers that aren't held as one; before all that are.
+UNFIT = -(1 << 63)
 
 
 def new_state(spark) -> DataFrame:
@@ -21,7 +23,7 @@ def new_state(spark) -> DataFrame:
 
 
 def _as_one(df: DataFrame, order: list[str]) -> Column | None:
-    """The columns ``order``, one or two of whole numbers, as one in the same order; null where they don't fit, None for others.
+    """The columns ``order``, one or two of whole numbers, as one in the same order; UNFIT where they don't fit, None for others.
 
     The first row of a term is then found by hashing; a struct would have all rows sorted.
     """
@@ -30,9 +32,10 @@ def _as_one(df: DataFrame, order: list[str]) -> Column | None:
         return None
     a, *b = [F.col(c).cast("bigint") for c in order]
     if not b:
-        return a
+        return F.coalesce(a, F.lit(UNFIT))
     most = 1 << (63 - PAIR_BITS)
-    return F.when(a.between(-most, most - 1) & b[0].between(0, (1 << PAIR_BITS) - 1), F.shiftleft(a, PAIR_BITS).bitwiseOR(b[0]))
+    fit = a.between(1 - most, most - 1) & b[0].between(0, (1 << PAIR_BITS) - 1)
+    return F.when(fit, F.shiftleft(a, PAIR_BITS).bitwiseOR(b[0])).otherwise(F.lit(UNFIT))
 
 
 def _entries(df: DataFrame, order: list[str], term: str, state: DataFrame | None) -> DataFrame:
@@ -40,16 +43,16 @@ def _entries(df: DataFrame, order: list[str], term: str, state: DataFrame | None
     rows = df.filter(F.col(term).isNotNull()).groupBy(F.col(term).alias("term"))
     start = 1 if state is None else (state.agg(F.max("id")).first()[0] or 0) + 1
 
-    def placed(first: Column, fit: Column) -> DataFrame:
-        found = rows.agg(F.min(first).alias("first"), F.count("*").alias("n"), F.count(fit).alias("fit"))
+    def placed(first: Column) -> DataFrame:
+        found = rows.agg(F.min(first).alias("first"), F.count("*").alias("n"))
         if state is not None:
             found = found.join(state.select("term"), "term", "left_anti")
         return numbered(found, ["first", "term"], "id", start)
 
     one = _as_one(df, order)
-    got = None if one is None else placed(one, one)
-    if got is None or not got.filter("fit < n").isEmpty():
-        got = placed(F.struct(*order), F.lit(1))
+    got = None if one is None else placed(one)
+    if got is None or not got.filter(F.col("first") == UNFIT).isEmpty():
+        got = placed(F.struct(*order))
     return got.select("term", "id", "n")
 
 
@@ -68,27 +71,30 @@ def extend_state(df: DataFrame, order: list[str], term: str = "term", state: Dat
     return added if state is None else state.select("term", "id").unionByName(added)
 
 
-def look_up(df: DataFrame, state: DataFrame, term: str = "term", missing: int | None = 0, counts: DataFrame | None = None) -> DataFrame:
+def look_up(df: DataFrame, state: DataFrame, term: str = "term", missing: int | None = 0, counted: bool = False) -> DataFrame:
     """``df`` with the ids of its terms; unknown terms get ``missing``.
 
     A dictionary that is checked to be small is broadcast, and rows stay where they are.
     For a larger one the frequent terms, which would fill a task each and are nearly all rows,
-    get their ids from a broadcast table of their own, and only the others are shuffled.
-    ``counts``: (term, n) of the rows of ``df``, if they are known.
+    get their ids from a broadcast table of their own, and only the others are shuffled, and
+    once the entries of these.  ``counted``: the dictionary has the rows of ``df`` by term as n.
     """
-    known = state.select(F.col("term").alias(term), "id")
+    known = state.select("term", "id", *["n"] * counted)
     rows = df.drop("id")
-    size = known.agg(F.coalesce(F.sum(_bytes(term)), F.lit(0))).first()[0]
+    entry = lambda entries, name="id": entries.select(F.col("term").alias(term), F.col("id").alias(name))
+    size = known.agg(F.coalesce(F.sum(_bytes("term")), F.lit(0))).first()[0]
     if size <= BROADCAST_BYTES:
-        got = rows.join(F.broadcast(known), term, "left")
+        got = rows.join(F.broadcast(entry(known)), term, "left")
     else:
-        if counts is None:
-            counts = cut(rows.groupBy(F.col(term).alias("term")).agg(F.count("*").alias("n")))
-        frequent = F.broadcast(_frequent(counts).withColumnRenamed("term", term).join(known, term))
+        if not counted:
+            n = rows.groupBy(F.col(term).alias("term")).agg(F.count("*").alias("n"))
+            known = cut(known.join(n, "term"))
+        least = _least(known)
         often = free_name(rows, "often")
-        marked = rows.join(frequent.withColumnRenamed("id", often), term, "left")
-        rest = marked.filter(F.col(often).isNull()).drop(often).join(known, term, "left")
-        got = marked.filter(F.col(often).isNotNull()).withColumnRenamed(often, "id").unionByName(rest)
+        marked = rows.join(F.broadcast(entry(_frequent(known, least), often)), term, "left")
+        local = F.col(often).isNotNull() | F.col(term).isNull()
+        rest = marked.filter(~local).drop(often).join(entry(known.filter(F.col("n") < least)), term, "left")
+        got = marked.filter(local).withColumnRenamed(often, "id").unionByName(rest)
     return got if missing is None else got.withColumn("id", F.coalesce("id", F.lit(missing).cast("bigint")))
 
 
@@ -96,10 +102,10 @@ def _bytes(term: str) -> Column:
     return F.octet_length(term) + 24
 
 
-def _frequent(counts: DataFrame) -> DataFrame:
-    """(term) of (term, n): those with a share of SHARE of all rows, 1 / SHARE at most, and the next as long as all take FREQUENT_BYTES.
+def _least(counts: DataFrame) -> float:
+    """The least n of the frequent terms of (term, n): those with a share of SHARE of all rows, 1 / SHARE at most, and the next as long as all take FREQUENT_BYTES.
 
-    They are told by their n; only sums for each of its steps, a few hundred, meet on the driver.
+    Only sums for each step of n, a few hundred, meet on the driver.
     """
     step = F.floor(F.log2("n") * 8)
     steps = counts.filter(F.col("term").isNotNull()).groupBy(step.alias("step")).agg(
@@ -111,7 +117,12 @@ def _frequent(counts: DataFrame) -> DataFrame:
         if held > min(FREQUENT_BYTES, BROADCAST_BYTES):
             break
         least = min(least, s["least"])
-    return counts.filter(F.col("n") >= least).select("term")
+    return least
+
+
+def _frequent(counts: DataFrame, least: float | None = None) -> DataFrame:
+    """The frequent terms of (term, n)."""
+    return counts.filter(F.col("n") >= (_least(counts) if least is None else least))
 
 
 def enumerate_terms(
@@ -124,7 +135,7 @@ def enumerate_terms(
     if state is None:
         entries = _entries(df, order, term, None)
         state = entries.select("term", "id")
-        return look_up(df, state, term, counts=entries.select("term", "n")), state
+        return look_up(df, entries, term, counted=True), state
     state = cut(extend_state(df, order, term, state))
     return look_up(df, state, term), state
 

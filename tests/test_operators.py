@@ -314,3 +314,35 @@ def test_ids_are_rendered_without_another_count_of_the_rows(spark, monkeypatch):
     got, _ = ids.enumerate_terms(df, ["doc_id", "pos"])
     values = {(r.doc_id, r.pos): r.value for r in got.select("doc_id", "pos", source.render_id().alias("value")).collect()}
     assert values == {(1, 0): "1", (1, 1): "1", (1, 2): "2", (1, 3): "1", (2, 0): "3", (2, 1): "1", (2, 2): "4"}
+
+
+def test_only_seldom_terms_and_their_entries_are_shuffled_to_look_up_ids(spark, monkeypatch):
+    monkeypatch.setattr(ids, "BROADCAST_BYTES", 60)
+    monkeypatch.setattr(ids, "SHARE", 0.25)
+    rows = [(k, None if k % 4 == 3 else "hot" if k % 2 else f"t{k}") for k in range(40)]
+    df = spark.createDataFrame(rows, "k int, term string")
+    want = {t: k for k, t in enumerate(dict.fromkeys(t for _, t in rows if t), 1)} | {None: 0}
+    got, state = ids.enumerate_terms(df, ["k"])
+    again, _ = ids.enumerate_terms(df, ["k"], state=state, extend=False)
+    for looked in (got, again):
+        assert sorted((r.k, r.id) for r in looked.collect()) == [(k, want[t]) for k, t in rows]
+        plan = looked._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+        assert plan.count("Exchange hashpartitioning") == 2
+    first = state.filter("id > 5")
+    some, _ = ids.enumerate_terms(df, ["k"], state=first, extend=False)
+    assert sorted((r.k, r.id) for r in some.collect()) == [(k, want[t] if want[t] > 5 else 0) for k, t in rows]
+
+
+def test_rows_to_number_carry_no_column_for_what_fits(spark, monkeypatch):
+    rows = [(-(1 << 39), 0, "least"), (1, 0, "b"), (1, 1, "a"), (None, 5, "none"), (2, 0, "a")]
+    planned = []
+    whole = ids.numbered
+    monkeypatch.setattr(ids, "numbered", lambda df, *how: planned.append(df.columns) or whole(df, *how))
+    for some, passes in ((rows, 2), (rows[1:3], 1), (rows[:1], 2), (rows[3:4], 2)):
+        planned.clear()
+        got = ids.extend_state(spark.createDataFrame(some, "d long, p int, term string"), ["d", "p"])
+        key = lambda r: tuple((x is not None, x or 0) for x in r[:2])
+        assert {r.term: r.id for r in got.collect()} == {t: k for k, t in enumerate(dict.fromkeys(r[2] for r in sorted(some, key=key)), 1)}
+        assert planned == [["term", "first", "n"]] * passes
+    edge = spark.createDataFrame([(-(1 << 63), "x"), (5, "y"), (None, "z")], "d long, term string")
+    assert {r.term: r.id for r in ids.extend_state(edge, ["d"]).collect()} == {"z": 1, "x": 2, "y": 3}
